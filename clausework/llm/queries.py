@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, fst_count, lm, topk
+from . import bpe_reuse, fingerprints, fst_count, lm, simhash_dedup, topk
 from .common import table
 
 #: The vocabulary file of the queries.
@@ -27,6 +27,14 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lm.held_out("doc_id", 7, 2).alias("held_out"), *out.columns[1:])
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_reuse.digest(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -40,7 +48,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_count.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op6_bpe_encoding, op7_exact_top_k, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op7_exact_top_k": """
