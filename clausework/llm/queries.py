@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, fingerprints, fst_count, lm, simhash_dedup, topk
+from . import bpe_reuse, fingerprints, fst_count, lm, mixing, simhash_dedup, topk
 from .common import table
 
 #: The vocabulary file of the queries.
@@ -48,9 +48,19 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fst_count.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts)}
+#: The mixing query's targets: part of the largest entropy, epochs at most.
+ENTROPY, REPEATS = 0.97, 4.0
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ENTROPY, REPEATS)
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
+    "op10_source_mixing": mixing.sql(ENTROPY, REPEATS),
     "op7_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector FROM embeddings
