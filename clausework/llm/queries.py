@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, fingerprints, fst_count, lm, mixing, simhash_dedup, topk
+from . import bpe_reuse, fingerprints, fst_count, lm, mixing, simhash_dedup, suffix_dedup, topk
 from .common import table
 
 #: The vocabulary file of the queries.
@@ -31,6 +31,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -57,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_source_mixing": mixing.sql(ENTROPY, REPEATS),
