@@ -19,10 +19,12 @@ defaults have it; repeated rows each have their row; an empty table gives no row
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,9 @@ from . import common as C
 from .bpe_reuse import byte_alphabet
 
 #: Characters in a chunk, states of the BPE transducer that are kept, distinct pieces that run together.
-CHUNK, MAX_STATES, PIECES = 128, 60_000, 1 << 16
+CHUNK, MAX_STATES, PIECES = 128, 32_000, 1 << 16
 #: Tokens below a node of the trie up to which tokens before it are told apart only by which of these can follow.
-FEW = 512
+FEW = 256
 #: Bits of what a transition says: a piece begins before this character, before the one before it.
 HERE, BACK = 1, 2
 LETTER, STMD, R, V, L, E, NUMBER, OTHER, QUOTE, SPACE, WHITE = range(11)
@@ -142,7 +144,7 @@ class BpeTransducer:
         ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in known}
         self.bytes_of = {i: t for t, i in ranks.items()}
         engine = tiktoken.Encoding("pairs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.merge = engine._encode_single_piece
+        self.merge = engine._core_bpe.encode_single_piece
         self.children: list[dict[int, int]] = [{}]
         self.token: list[int] = [-1]
         for t, i in ranks.items():
@@ -160,20 +162,20 @@ class BpeTransducer:
             parts = [self.below[to] for to in self.children[node].values()]
             tokens = None if None in parts else [x for to, some in zip(self.children[node].values(), parts, strict=True) for x in ([self.token[to]] if self.token[to] >= 0 else []) + some]
             self.below[node] = tokens if tokens is not None and len(tokens) <= FEW else None
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.stand_in: dict[tuple[int, int], int | None] = {}
-        self.first_with: dict[tuple, int] = {}
+        self.pairs: dict[int, bool] = {}
+        self.stand_in: dict[int, int | None] = {}
+        self.first_with: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.of: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.next = np.full((4096, 256), -1, np.int32)
-        self.emits = np.zeros((4096, 256), np.int16)
+        self.emits = np.zeros((4096, 256), np.int8)
         self.state(((0, -1, 0),))
-        if len(self.pairs) > 300_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
-        if len(self.stand_in) > 300_000:
+        if len(self.stand_in) > 200_000:
             self.stand_in.clear()
             self.first_with.clear()
 
@@ -191,9 +193,10 @@ class BpeTransducer:
         """Whether BPE leaves token a before token b as they are."""
         if a < 0:
             return True
-        found = self.pairs.get((a, b))
+        key = a << 24 | b
+        found = self.pairs.get(key)
         if found is None:
-            found = self.pairs[a, b] = list(self.merge(self.bytes_of[a] + self.bytes_of[b])) == [a, b]
+            found = self.pairs[key] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return found
 
     def alike(self, node: int, before: int) -> int | None:
@@ -201,10 +204,12 @@ class BpeTransducer:
         some = self.below[node]
         if some is None or before < 0:
             return before
-        key = node, before
+        key = node << 24 | before
         if key not in self.stand_in:
-            can = tuple(t for t in some if self.follows(before, t))
-            self.stand_in[key] = self.first_with.setdefault((node, can), before) if can else None
+            merge, old, of = self.merge, self.bytes_of[before], self.bytes_of
+            can = [t for t in some if merge(old + of[t]) == [before, t]]
+            name = hashlib.blake2b(array("I", [node, *can]).tobytes(), digest_size=16).digest()
+            self.stand_in[key] = self.first_with.setdefault(name, before) if can else None
         return self.stand_in[key]
 
     def compile(self, at: int, byte: int) -> None:
