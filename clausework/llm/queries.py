@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_reuse, fingerprints, fst_count, lm, mixing, simhash_dedup, suffix_dedup, topk
+from . import bpe_reuse, fingerprints, fst_count, lm, mixing, quality_mil, simhash_dedup, suffix_dedup, topk, toxicity
 from .common import table
+from .labelled import sample
 
 #: The vocabulary file of the queries.
 VOCABULARY = "byte_bpe_50k.json"
@@ -31,6 +32,29 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents"))
 
 
+#: A score from which the classifiers predict label 1.
+THRESHOLD = 0.3
+
+
+def _predicted(scores: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scores.select("doc_id", lm.held_out("doc_id", modulus, remainder).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = sample(docs, table(spark, sf_dir, "labels"), "quality", ~lm.held_out("doc_id", 5, 0), {1: quality_mil.GOOD, 0: quality_mil.BAD}, quality_mil.LONGEST)
+    return _predicted(quality_mil.score(docs, quality_mil.fit(rows)), 5, 0)
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.fit(sample(docs, labels, "toxic", ~lm.held_out("doc_id", 4, 2), {1: toxicity.POSITIVE, 0: toxicity.NEGATIVE}, toxicity.LONGEST))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _predicted(toxicity.score(docs, toxicity_model(docs, table(spark, sf_dir, "labels"))), 4, 2)
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -61,7 +85,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_document_fingerprints, op3_quality_classifier, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_bpe_encoding, op7_exact_top_k, op8_token_counts, op9_toxicity, op10_source_mixing)}
 
 ORACLES: dict[str, str] = {
     "op10_source_mixing": mixing.sql(ENTROPY, REPEATS),
