@@ -36,6 +36,8 @@ REACH, SHORT, APART = 11, 5, 16
 LANDMARKS, ROUNDS, POSITIVE, NEGATIVE = 300, 3, 1_500, 3_000
 #: Characters of the longest document that is fitted on.
 LONGEST = 3_000
+#: Characters on either side by which a copy is told.
+AROUND = 8
 #: Characters that are scored together.
 BLOCK = 1 << 20
 _MARK, _BETWEEN = 63, ""
@@ -115,27 +117,32 @@ def _profile(code: np.ndarray, at: np.ndarray, dims: np.ndarray, size: int = REA
 
 
 def _landmarks(code: np.ndarray, start: np.ndarray, toxic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Strings inside words that occur in toxic documents more than in others, and by how much."""
-    n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
+    """Strings inside words, with their ends, that occur in toxic documents more than in others, and by how much."""
     doc = np.searchsorted(start, np.arange(len(code)), "right") - 1
     good = (code > 0) & (code < _MARK)
+    around = np.zeros(len(code), np.int64)  # of what stands before and behind, so that copies count once
+    padded = np.concatenate((np.zeros(AROUND, np.uint8), code, np.zeros(AROUND + 8, np.uint8))).astype(np.int64)
+    for k in range(AROUND):
+        around = (around * 1_000_003 + padded[k : k + len(code)] * 64 + padded[AROUND + 8 + k : AROUND + 8 + k + len(code)]) & (1 << 40) - 1
+    around = around >> 12 & 0xFFFF
     found: list[tuple[float, int, int]] = []
     for n in (4, 5, 6, 7):
         m = len(code) - n + 1
         gram, whole = np.zeros(m, np.int64), np.ones(m, bool)
         for k in range(n):
             gram = gram << 6 | code[k : k + m]
-            whole &= good[k : k + m]
-        pairs = np.unique(gram[whole] << 16 | doc[:m][whole])  # 42 bits and fewer than 2**16 documents
-        first = np.flatnonzero(np.concatenate(([True], pairs[1:] >> 16 != pairs[:-1] >> 16))) if len(pairs) else np.empty(0, np.int64)
-        kinds = pairs[first] >> 16
-        pos = np.add.reduceat(toxic[pairs & 0xFFFF].astype(np.int64), first) if len(pairs) else first
-        neg = np.diff(np.append(first, len(pairs))) - pos
-        some = pos >= 3
-        kinds, pos, neg = kinds[some], pos[some], neg[some]
-        rate_p, rate_n = pos / n_pos, (neg + 0.5) / (n_neg + 1)
-        gain = np.where(rate_p > 3 * rate_n, pos * np.log(rate_p / rate_n), 0)
-        best = np.argsort(-gain, kind="stable")[: LANDMARKS]
+            whole &= good[k : k + m] | ((k in (0, n - 1)) & (code[k : k + m] == 0))  # words' ends count as characters
+        places = np.unique(gram[whole] << 17 | around[:m][whole] << 1 | toxic[doc[:m][whole]])
+        places = places[np.concatenate(([True], places[1:] >> 1 != places[:-1] >> 1))]  # not toxic where some document with it isn't
+        kinds, first = np.unique(places >> 17, return_index=True)
+        pos = np.add.reduceat(places & 1, first) if len(first) else first
+        size = np.diff(np.append(first, len(places)))
+        share = max(1e-3, (places & 1).mean()) if len(places) else 0.5
+        some = (pos >= 3) & (pos / size > share)
+        kinds, pos, neg = kinds[some], pos[some], (size - pos)[some]
+        gain = pos * np.log(pos / (pos + neg) / share) + np.where(neg > 0, neg * np.log(np.maximum(neg, 1) / (pos + neg) / (1 - share)), 0)
+        gain[gain < np.log(1 + (size >= 3).sum())] = 0  # as likely as not by chance among so many strings
+        best = np.argsort(-gain, kind="stable")[:LANDMARKS]
         found += [(float(gain[i]), n, int(kinds[i])) for i in best if gain[i] > 0]
     found.sort(key=lambda x: (-x[0], x[1], x[2]))
     found = found[:LANDMARKS]
@@ -203,11 +210,12 @@ class Model:
 
 def fit(rows: list[tuple[str, int]]) -> Model:
     """The machine from texts and labels (1: toxic)."""
+    rows = sorted(set(rows))
     y = np.array([v for _, v in rows], bool)
     if not len(rows) or y.all() or not y.any():
         p = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << 18, np.float32), np.array([0.0, 0.0, np.log(p / (1 - p))]))
-    held = np.arange(len(rows)) % 4 == 3  # for the logistic function
+    held = np.random.default_rng(3).permutation(len(rows)) % 4 == 3  # for the logistic function
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         held[:] = False
     texts = [t for t, _ in rows]
