@@ -25,6 +25,7 @@ MISUSES = [
 
 NOUN, KATAKANA = f"[{KANJI}]+(?:[{MIDDLE}][{KANJI}]+)*[{TAIL}]?", f"[{KATA}]{{3,}}"
 _VERB_TAIL = re.compile(f"[{VERB}]|な[{NEGATIVE}]|[{ROW}][{AFTER_ROW}]")
+_NOUN, _KATAKANA = re.compile(NOUN), re.compile(KATAKANA)
 REACH = 16
 
 
@@ -64,8 +65,12 @@ def group_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", group
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, token, n: nouns in kanji and words in katakana; words used as verbs don't count."""
-    both = F.concat(F.regexp_extract_all(text, F.lit(f"({NOUN})(?![{VERB}])"), 1), F.regexp_extract_all(text, F.lit(f"({KATAKANA})"), 1))
-    return docs.select(key, F.explode(both).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+
+    @F.pandas_udf("array<string>")
+    def words(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: [m[0] for m in _NOUN.finditer(t or "") if not verb(t, m[0], m.start())] + _KATAKANA.findall(t or ""))
+
+    return docs.select(key, F.explode(words(text)).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def katakana_groups(counts: DataFrame, key: str = "doc_id") -> DataFrame:
