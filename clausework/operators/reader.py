@@ -802,7 +802,7 @@ def flat_nodes(items: list[tuple[str, object]]) -> list[dict]:
             mark = lead_mark(text, node["body"]) if node["type"] != "article" else ""
             node |= {"mark": mark} if mark else {}
         nodes.append(node)
-    for node, after in zip(nodes, [*nodes[1:], None], strict=True):
+    for node, after in zip(nodes, [*nodes[1:], None], strict=False):
         if node["type"] == "article_title" and node.get("raw") and (after is None or after["type"] != "article"):
             raw = node["raw"]
             node.clear()

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
@@ -32,7 +33,7 @@ def normal(s: str | None) -> str:
     return re.sub("[\\s　​]+", "", _peeled(_NUMBERS, s, True)).replace("｢", "「").replace("｣", "」")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(s: pd.Series) -> pd.Series:
     return s.map(normal)
 
