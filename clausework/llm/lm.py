@@ -248,7 +248,7 @@ class Model:
             c = self.find(f"gram{level}", 1, "u4", keys)[0]
             gain = np.maximum(c - cut(c), 0)[back]
             p = np.where(total > 0, gain / np.maximum(total, 1) + free * p, p)
-        return np.log10(p), count[back if self.order < 1 else np.searchsorted(words, h)]
+        return np.log10(p), count[np.searchsorted(words, h)]
 
 
 def fit(docs: DataFrame, order: int = 2) -> Model:

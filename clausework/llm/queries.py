@@ -69,7 +69,7 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantized(64.0, "embedding").alias("vector"))
-    return topk.search(rows, F.col("vec_id") % 20 == 0, 20).withColumnRenamed("key", "vec_id")
+    return topk.search(rows, F.col("vec_id") % 20 == 0, 20)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

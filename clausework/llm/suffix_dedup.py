@@ -508,20 +508,21 @@ def digest(docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = [(size, gone, runs, hashlib.sha256(rest).hexdigest()) for _, rest, gone, runs, size in apply(batch, kept)]
             size, gone, runs, digests = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_id(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), "text", "doc_id", *(c for c in docs.columns if c not in ("text", "doc_id", "doc", "tie")))
+    """The columns that _columns() reads, then doc_id and the others."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("dedup_doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("dedup_tie"), F.col("text").alias("dedup_text"), *(c for c in docs.columns if c != "text"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes removed from text; a character of which only some bytes stay becomes U+FFFD."""
     _, folder, bits = removed(docs)
     apply, wide = _apply(folder, bits), _with_id(docs)
-    names = [c for c in wide.columns if c not in ("doc", "tie")]
+    names = ["text", *(c for c in docs.columns if c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = _Kept(folder, "span", _SPAN, bits)
@@ -529,5 +530,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             text = pa.array([rest.decode("utf-8", "replace") for _, rest, *_ in apply(batch, kept)], pa.string())
             yield pa.RecordBatch.from_arrays([text, *(batch.column(k) for k in range(3, batch.num_columns))], names)
 
-    schema = wide.select(*names).schema
-    return wide.mapInArrow(run, schema).select(*(c for c in docs.columns))
+    return wide.mapInArrow(run, docs.select(*names).schema).select(*docs.columns)

@@ -5,7 +5,7 @@ the table is read once, in blocks. A task keeps, for each tile, only the k best
 the partial lists of a tile are merged in a tree, FAN lists at a time. The product is a floating-point matrix product
 where the largest possible sum is below 2**53, and one of 64-bit integers elsewhere.
 
-Defined results: vectors that are null, or hold a null or a component that isn't finite, take no part; vectors of
+Defined results: scores must fit 64 bits; vectors that are null, or hold a null or a component that isn't finite, take no part; vectors of
 different length are never compared; rows that share the query's vec_id are its own; other repeated rows all count; ties
 go to the smaller vec_id; with no candidate a query has no rows.
 """
