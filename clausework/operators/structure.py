@@ -44,6 +44,22 @@ def matter(rows: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.withColumn("part", part).select(*rows.columns, "part")
 
 
+def contents_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """rows (key, pos, line) with toc: whether the line is one of a typed table of contents."""
+
+    @F.pandas_udf("array<boolean>")
+    def found(batch: pd.Series) -> pd.Series:
+        def one(some: list[str]) -> list[bool]:
+            toc = reader.typed_toc(some)
+            return [k in toc for k in range(len(some))]
+
+        return batch.map(lambda x: one(list(x)))
+
+    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l"))
+    listed = listed.withColumn("t", found(F.transform("l", lambda x: x["line"])))
+    return listed.select(key, F.explode(F.arrays_zip("l", "t")).alias("z")).select(key, "z.l.pos", "z.l.line", F.col("z.t").alias("toc"))
+
+
 def _per_document(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
 

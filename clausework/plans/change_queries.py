@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
+from ..operators import answers, crossref, settings
 from ..operators import compare as C
 from ..operators import structure as S
 from ..operators import validate
@@ -115,3 +116,50 @@ def validate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ['"number":true,"paragraphs":[]', '"number":1,"paragraphs":[{"body":3}]', '"number":1,"title":5,"paragraphs":[]', '"number":1,"tables":[{"rows":[]}],"paragraphs":[]']
     trees = [*map(one, bad), "{", one('"number":1,"title":"目的","paragraphs":[{"body":"本文","items":[]}]')]
     return validate.violations(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), pick(F.col("p_partkey"), *trees).alias("tree")))
+
+
+@query(f"""SELECT o_custkey AS doc_id, o_orderpriority AS style FROM (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, min(nth)) AS k FROM {ORDERS} GROUP BY 1, 2) WHERE k = 1""")
+def most_common_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The value that each document uses most, of equals the first."""
+    return settings.most_common(orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), F.col("nth").alias("pos"), F.col("o_orderpriority").alias("style")), ["doc_id"], "style")
+
+
+@query("""SELECT o_custkey AS doc_id, CASE WHEN o_custkey % 4 = 2 THEN 't3' ELSE ['t1', 't2', 't2', 't4'][o_custkey % 4 + 1] END AS template FROM orders GROUP BY 1""")
+def template_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The template that each document's styles are of."""
+    from ..operators.emit import STYLES
+
+    names = ["t1", "t2", "t3", "t4"]
+    styles = F.get(F.array(*(F.array(*map(F.lit, STYLES[t])) for t in names)), (F.col("o_custkey") % 4).cast("int"))
+    docs = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    rows = docs.select(F.col("o_custkey").alias("doc_id"), F.explode(styles).alias("style"), F.when(F.col("o_custkey") % 4 == 2, "　本文").otherwise("本文").alias("text"))
+    return settings.detect_template(rows)
+
+
+@query(f"""SELECT o_custkey AS doc_id, nth AS pos, CASE WHEN nth % 3 = 2 THEN nth - 1 ELSE nth END AS "at" FROM {ORDERS}""")
+def bookmark_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraph that bears an article's number: each article has a numbered heading and two paragraphs, the second of which stays."""
+    n = F.col("nth")
+    heading = n % 3 == 1
+    rows = orders(spark, sf_dir).select(F.col("o_custkey").alias("doc_id"), n.alias("pos"), F.when(heading, 1).otherwise(2).alias("level"), F.when(heading, F.concat(F.lit("第"), n.cast("string"), F.lit("条"))).otherwise(n.cast("string")).alias("label"))
+    return crossref.numbered_neighbour(rows).select("doc_id", "pos", "at")
+
+
+@query(f"""SELECT o_custkey AS doc_id, nth AS pos, CASE WHEN nth % 4 <> 0 THEN nth * 2 END AS found FROM {ORDERS}""")
+def paragraph_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where source paragraphs are in an output that lost every fourth and put numbers before the others."""
+    o, n = orders(spark, sf_dir), F.col("nth")
+    text = F.concat(F.lit("受注番号 "), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit(" を処理する。"))
+    src = o.select(F.col("o_custkey").alias("doc_id"), n.alias("pos"), text.alias("text"))
+    out = o.filter("nth % 4 <> 0").select(F.col("o_custkey").alias("doc_id"), (n * 2).alias("pos"), F.concat(pick(n, "", "２　"), text).alias("text"))
+    return crossref.find(src, out).select("doc_id", "pos", "found")
+
+
+@query("""WITH RECURSIVE l AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, CAST(pos - 1 AS INTEGER) AS pos, len(CAST(pos - 1 AS VARCHAR) || ': ' || line) + 1 AS n, line LIKE '%.' AND (pos - 1) % 6 = 2 AS target FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+ c AS (SELECT doc_id, k, pos, target, 0 AS chunk, n AS filled FROM l WHERE k = 1 UNION ALL SELECT l.doc_id, l.k, l.pos, l.target, c.chunk + CASE WHEN c.filled > 0 AND c.filled + l.n > 2000 THEN 1 ELSE 0 END, CASE WHEN c.filled > 0 AND c.filled + l.n > 2000 THEN l.n ELSE c.filled + l.n END FROM c JOIN l ON l.doc_id = c.doc_id AND l.k = c.k + 1)
+SELECT doc_id, pos, chunk::INTEGER AS chunk FROM c WHERE (doc_id, chunk) IN (SELECT (doc_id, chunk) FROM c WHERE target)""")
+def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines put into chunks of a bounded size; those without a line to be judged are left out."""
+    rows = S.lines(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("target", F.col("line").endswith(".") & (F.col("pos") % 6 == 2))
+    return answers.chunks(rows, chars=2000).select("doc_id", "pos", "chunk")

@@ -175,3 +175,23 @@ def suspicious_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.get(F.array(F.lit("次の各号のいずれかに該当する。"), F.lit("以下の書類を提出する。"), long_text), (k % 3).cast("int"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"), F.when(k % 3 == 1, 1).otherwise(0).alias("n_below"), F.lit(0).alias("n_tables"))
     return S.suspicious(rows).select("o_orderkey", "reason")
+
+
+@query(f"""SELECT o_custkey AS doc_id, k * 100000 + nth * 10 AS pos, k = 0 AND o_custkey % 3 < 2 AS toc FROM {ORDERS}, (SELECT unnest([0, 1]) AS k) WHERE o_custkey % 3 < 2 OR k = 1
+UNION ALL SELECT o_custkey, 0, o_custkey % 3 = 1 FROM orders WHERE o_custkey % 3 > 0 GROUP BY 1""".replace("o_custkey % 3 < 2 OR k = 1", "o_custkey % 3 <> 2 OR k = 1").replace("k = 0 AND o_custkey % 3 < 2 AS toc", "k = 0 AS toc"))
+def manual_toc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of typed tables of contents: with page numbers, with a title and without numbers, and a title that nothing follows."""
+    o, n, c = orders(spark, sf_dir), F.col("nth"), F.col("o_custkey")
+    heading = F.concat(F.lit("第"), n.cast("string"), F.lit("条（"), F.col("o_orderpriority"), F.lit("）"))
+    listed = o.filter("o_custkey % 3 <> 2").select(c.alias("doc_id"), (n * 10).alias("pos"), F.when(c % 3 == 0, F.concat(heading, F.lit(" …… "), n.cast("string"))).otherwise(heading).alias("line"))
+    body = o.select(c.alias("doc_id"), (F.lit(100_000) + n * 10).alias("pos"), F.concat(heading, F.lit("　有効とする。")).alias("line"))
+    title = o.filter("o_custkey % 3 > 0").select(c.alias("doc_id"), F.lit(0).cast("long").alias("pos"), F.lit("目　次").alias("line")).distinct()
+    return S.contents_lines(listed.unionByName(body).unionByName(title)).select("doc_id", "pos", "toc")
+
+
+@query(f"""SELECT o_orderkey, ord::INTEGER AS ord, piece, marked FROM (SELECT o_orderkey, unnest([{{'ord': 0, 'piece': '甲', 'marked': false}}, {{'ord': 1, 'piece': '及び', 'marked': true}}, {{'ord': 2, 'piece': '乙' || o_custkey, 'marked': false}}], recursive := true) FROM orders)""")
+def span_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts cut where spans that are to be marked begin and end."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("甲及び乙"), F.col("o_custkey").cast("string")).alias("text"))
+    marked = rows.select("o_orderkey", F.lit(1).alias("start"), F.lit(3).alias("end"))
+    return emit.segments(rows, marked, ["o_orderkey"])
