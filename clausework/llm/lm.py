@@ -261,8 +261,11 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     rows = docs.select("text").mapInArrow(_count_mapper(order, bits), ROWS)
     stats: dict[str, list[int]] = {}
     contexts: list[tuple[int, DataFrame]] = []
+    passed: list[str] = []
     for level in range(order, 0, -1):
-        out = C.stored(rows.repartition(2**bits, "bucket").mapInArrow(_reducer(folder, level, bits), ROWS), "kneser-ney-level")
+        passed.append(C.shared_dir(spark, "kneser-ney-level"))
+        rows.repartition(2**bits, "bucket").mapInArrow(_reducer(folder, level, bits), ROWS).write.parquet(passed[-1])
+        out = spark.read.schema(ROWS).parquet(passed[-1])
         for r in out.filter(F.col("kind").startswith("stats")).select("kind", F.col("payload").cast("string").alias("j")).collect():  # one a bucket
             key = "word" if r["kind"] == "stats-word" else f"gram{level}"
             stats[key] = [a + b for a, b in zip(stats.get(key, [0] * 7), json.loads(r["j"]), strict=True)]
@@ -271,6 +274,8 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             rows = out.filter("kind = 'next'").withColumn("kind", F.lit("gram"))
     for level, c in contexts:
         c.repartition(2**bits, "bucket").mapInArrow(_reducer(folder, level, bits), ROWS).count()
+    for p in passed:  # scorers read the arrays alone
+        C.discard(spark, p)
     return Model(folder, order, bits, stats)
 
 
