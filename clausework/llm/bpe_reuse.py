@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), lists, pa.array([c.decode(x) for x in ids])], [key, "ids", "text"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, text string")
+    return docs.select(key, "text").mapInArrow(C.trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, text string")
 
 
 def digest(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -210,5 +210,5 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
             n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, "text").mapInArrow(C.trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

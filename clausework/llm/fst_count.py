@@ -329,4 +329,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_
                 i = j
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(counts), pa.array(counts > limit)], [key, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(key, "text").mapInArrow(C.trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -258,13 +258,13 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
     folder = C.shared_dir(spark, "kneser-ney")
-    rows = docs.select("text").mapInArrow(_count_mapper(order, bits), ROWS)
+    rows = docs.select("text").mapInArrow(C.trimmed(_count_mapper(order, bits)), ROWS)
     stats: dict[str, list[int]] = {}
     contexts: list[tuple[int, DataFrame]] = []
     passed: list[str] = []
     for level in range(order, 0, -1):
         passed.append(C.shared_dir(spark, "kneser-ney-level"))
-        rows.repartition(2**bits, "bucket").mapInArrow(_reducer(folder, level, bits), ROWS).write.parquet(passed[-1])
+        rows.repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).write.parquet(passed[-1])
         out = spark.read.schema(ROWS).parquet(passed[-1])
         for r in out.filter(F.col("kind").startswith("stats")).select("kind", F.col("payload").cast("string").alias("j")).collect():  # one a bucket
             key = "word" if r["kind"] == "stats-word" else f"gram{level}"
@@ -273,7 +273,7 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
             contexts.append((level, out.filter("kind = 'context'")))
             rows = out.filter("kind = 'next'").withColumn("kind", F.lit("gram"))
     for level, c in contexts:
-        c.repartition(2**bits, "bucket").mapInArrow(_reducer(folder, level, bits), ROWS).count()
+        c.repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).count()
     for p in passed:  # scorers read the arrays alone
         C.discard(spark, p)
     return Model(folder, order, bits, stats)
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
                 [key, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
             )
 
-    return docs.select(key, "text").mapInArrow(run, schema)
+    return docs.select(key, "text").mapInArrow(C.trimmed(run), schema)
 
 
 def held_out(key: str, modulus: int, remainder: int) -> Column:

@@ -97,10 +97,10 @@ def links(prints: DataFrame) -> DataFrame:
     cells = _cells(prints)
     hot = C.stored(cells.groupBy("tab", "key").count().filter(F.col("count") > CELL).select("tab", "key"), "hot-cells")
     if not hot.limit(1).count():
-        return cells.repartition("tab", "key").mapInArrow(_forest, "a long, b long")
+        return cells.repartition("tab", "key").mapInArrow(C.trimmed(_forest), "a long, b long")
     few = hot.count() <= 100_000
     hot = F.broadcast(hot) if few else hot
-    out = cells.join(hot, ["tab", "key"], "left_anti").repartition("tab", "key").mapInArrow(_forest, "a long, b long")
+    out = cells.join(hot, ["tab", "key"], "left_anti").repartition("tab", "key").mapInArrow(C.trimmed(_forest), "a long, b long")
     free = [[b for k in range(BLOCKS) if k not in chosen for b in range(16 * k, 16 * k + 16)] for chosen in combinations(range(BLOCKS), BLOCKS - RADIUS)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = [F.array(*(F.lit(signed(1 << i | 1 << j)) for i, j in combinations(bits, 2))) for bits in free]

@@ -107,7 +107,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 if top is not None:
                     yield _list(g, t, part, *top)
 
-        one = rows.select("id", "v").mapInArrow(run, LISTS)
+        one = rows.select("id", "v").mapInArrow(C.trimmed(run), LISTS)
         ids = spark.createDataFrame([(g, t, x.tobytes()) for t, (x, _) in enumerate(tiles)], "grp int, tile int, queries binary")
         one = tree_merge(one, k, max(1, one.rdd.getNumPartitions())).join(F.broadcast(ids), ["grp", "tile"])
         lists = one if lists is None else lists.unionByName(one)
@@ -124,7 +124,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id
                 rank = np.broadcast_to(np.arange(1, i.shape[1] + 1, dtype=np.int32), i.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(q, keep.sum(1)), rank[keep], i[keep], s[keep])], ["query_id", "rank", key, "score"])
 
-    return lists.mapInArrow(unpack, schema)
+    return lists.mapInArrow(C.trimmed(unpack), schema)
 
 
 def _list(g: int, t: int, part: int, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
@@ -146,6 +146,6 @@ def tree_merge(lists: DataFrame, k: int, parts: int) -> DataFrame:
 
     while True:
         parts = -(-parts // FAN)
-        lists = lists.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).repartition("grp", "tile", "part").mapInArrow(run, LISTS)
+        lists = lists.withColumn("part", F.floor(F.col("part") / FAN).cast("int")).repartition("grp", "tile", "part").mapInArrow(C.trimmed(run), LISTS)
         if parts <= 1:
             return lists

@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.score(texts))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
@@ -288,4 +288,4 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(texts))], [*names, "toxicity_score"])
 
     rows = docs.select(*names)
-    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("toxicity_score", T.DoubleType())]))
+    return rows.mapInArrow(C.trimmed(run), T.StructType([*rows.schema, T.StructField("toxicity_score", T.DoubleType())]))
