@@ -39,7 +39,9 @@ from .lm import _bucket, _pack, _unpack
 WIDTH, GRAM = 100, 32
 STARTS = WIDTH - GRAM + 1
 #: Bytes that numpy looks at together, bytes of text to a bucket, kinds of stretches of one anchor, ranges of a hot one.
-SLICE, BUCKET_BYTES, HOT, PARTS = 1 << 20, 24 << 20, 4_096, 8
+SLICE, BUCKET_BYTES, HOT, PARTS = 1 << 19, 12 << 20, 4_096, 8
+#: Bytes that are put together at a time.
+TAKEN = 1 << 18
 ROWS = "kind string, bucket int, payload binary"
 _ORDER = ["u8", "u8", "i8", "u4", "u4", "u1", "u1"]  # anchor, stretch, document, tie, first start, starts, anchor's distance from the first start
 _SPAN = ["u8", "u4", "u4"]  # document key, start, end
@@ -96,7 +98,8 @@ def _anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...] |
     count = np.diff(np.append(new, len(s)))
     distance = where - first
     stretch = C.mix(C.span_hashes(prefix, first, first + count + WIDTH - 1) + distance.astype(np.uint64))
-    return np.searchsorted(offsets, first, "right") - 1, grams[where], stretch, first, count, distance
+    # anchors have small hashes; mixed once more, they spread over all buckets
+    return np.searchsorted(offsets, first, "right") - 1, C.mix(grams[where]), stretch, first, count, distance
 
 
 def _later(anchor: np.ndarray, stretch: np.ndarray, doc: np.ndarray, tie: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,9 +226,20 @@ class _Kept:
         return np.concatenate(who), [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    behind = np.cumsum(size)
-    return data[np.repeat(start - (behind - size), size) + np.arange(behind[-1] if len(behind) else 0)]
+def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool = False) -> np.ndarray:
+    """data[start:start+size] of all, one behind the other, each read backwards if so asked; some at a time, as each byte needs an index."""
+    ends = np.cumsum(size, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    i, done = 0, 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(ends, done + TAKEN, "right")))
+        n = size[i:j].astype(np.int64)
+        begin = ends[i:j] - n - done
+        inside = np.arange(int(n.sum())) - np.repeat(begin, n)
+        at = np.repeat(start[i:j] + n - 1, n) - inside if backwards else np.repeat(start[i:j], n) + inside
+        out[done : int(ends[j - 1])] = data[at]
+        i, done = j, int(ends[j - 1])
+    return out
 
 
 _STRETCH = ["i8", "u4", "u4", "u1", "u1", "u1", "u1"]  # document, tie, first start, starts, distance, lowest and highest distance to judge
@@ -394,9 +408,7 @@ def compare(data: np.ndarray, start: np.ndarray, columns: list[np.ndarray]) -> t
     edge = lcp < GRAM
     same = np.empty(n, np.int64)
     same[order] = np.cumsum(edge)
-    backwards = _take(data, start, distance)
-    ends = np.cumsum(distance)
-    flipped = backwards[np.repeat(ends - 1 + (ends - distance), distance) - np.arange(len(backwards))] if len(backwards) else backwards
+    flipped, ends = _take(data, start, distance, True), np.cumsum(distance)
     order_l, lcp_l = deep_shallow(flipped, ends - distance, distance, same, 1)
     rank = np.empty(n, np.int64)
     place = np.lexsort((first + distance, tie, doc))
@@ -445,11 +457,11 @@ def removed(docs: DataFrame) -> tuple[DataFrame, str, int]:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
     folder, n = C.shared_dir(spark, "suffix-dedup"), 2**bits
-    found = rows.mapInArrow(_find(bits), ROWS).repartition(n, "kind", "bucket").mapInArrow(_split(_judge(bits)), ROWS)
+    found = rows.mapInArrow(C.trimmed(_find(bits)), ROWS).repartition(n, "kind", "bucket").mapInArrow(C.trimmed(_split(_judge(bits))), ROWS)
     found = C.stored(found, "suffix-dedup-found")
-    found.filter("kind = 'ask'").repartition(n, "bucket").mapInArrow(_keep(folder, _ASK), ROWS).count()
-    more = rows.mapInArrow(_read(folder, bits), ROWS).repartition(n, "bucket").mapInArrow(_sort(bits), ROWS)
-    found.filter("kind = 'span'").unionByName(more).repartition(n, "bucket").mapInArrow(_keep(folder, _SPAN), ROWS).count()
+    found.filter("kind = 'ask'").repartition(n, "bucket").mapInArrow(C.trimmed(_keep(folder, _ASK)), ROWS).count()
+    more = rows.mapInArrow(C.trimmed(_read(folder, bits)), ROWS).repartition(n, "bucket").mapInArrow(C.trimmed(_sort(bits)), ROWS)
+    found.filter("kind = 'span'").unionByName(more).repartition(n, "bucket").mapInArrow(C.trimmed(_keep(folder, _SPAN)), ROWS).count()
     return rows, folder, bits
 
 
@@ -510,7 +522,7 @@ def digest(docs: DataFrame) -> DataFrame:
             size, gone, runs, digests = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_id(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_id(docs).mapInArrow(C.trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
@@ -530,4 +542,4 @@ def dedup(docs: DataFrame) -> DataFrame:
             text = pa.array([rest.decode("utf-8", "replace") for _, rest, *_ in apply(batch, kept)], pa.string())
             yield pa.RecordBatch.from_arrays([text, *(batch.column(k) for k in range(3, batch.num_columns))], names)
 
-    return wide.mapInArrow(run, docs.select(*names).schema).select(*docs.columns)
+    return wide.mapInArrow(C.trimmed(run), docs.select(*names).schema).select(*docs.columns)
