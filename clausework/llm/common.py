@@ -116,6 +116,18 @@ def map_file(uri: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
 
+def file_part(uri: str, kind: str, start: int, count: int) -> np.ndarray:
+    """count items of the file's array from start on, read and not mapped."""
+    path, width = local_path(uri), np.dtype(kind).itemsize
+    if path is None:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        with system.open_input_file(path) as f:
+            return np.frombuffer(f.read_at(count * width, start * width), kind)
+    return np.fromfile(path, kind, count, offset=start * width)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -4,8 +4,10 @@ A SimHash of the shingles can differ in many bits at a similarity of 0.8, too ma
 cells: each of BANDS keys is made of ROWS smallest shingle hashes under permutations of its own, and two documents of
 similarity s have such a key in common with probability 1 - (1 - s**ROWS)**BANDS (0.9997 at 0.8). In a cell, pairs are
 discarded if their distances to any pivot differ by more than RADIUS bits, then if they themselves do; for survivors the
-similarity is taken from the upper halves of the SKETCH smallest shingle hashes of either (exact for sets of fewer shingles). A
-task sends on a forest of links. Equal texts are one entry, so groups of copies are one row before anything is dealt out.
+similarity is estimated from the upper halves of the SKETCH smallest shingle hashes of either. Only what lies SURE standard
+errors from the threshold is decided by that; entries that other pairs could link make up a group, the sorted shingle hashes
+of its members are written to the shared folder, and the group is gone through again with the exact similarity of the pairs
+between. A task sends on a forest of links. Equal texts are one entry, so groups of copies are one row before anything is dealt out.
 
 Defined results: a null text is empty; texts without words are equal to each other; texts shorter than a shingle are one
 shingle; repeated rows are copies; a null id never stands for a group that has another; an empty table gives no rows.
@@ -13,7 +15,8 @@ shingle; repeated rows are copies; a null id never stands for a group that has a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from .graph import components
 from .simhash_dedup import _REFERENCES
 
 BANDS, ROWS, SKETCH, RADIUS = 8, 2, 512, 26
+#: Standard errors between an estimate that decides and the threshold, and bytes of shingle hashes in a file.
+SURE, FILE_BYTES = 5.0, 16 << 20
 #: Shingles whose bits are counted together.
 VOTES = 8_192
 _SEEDS = np.random.default_rng(23).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -51,19 +56,26 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return hashes[fresh], owner[fresh]
 
 
+def _parts(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs i to j of whole documents of a batch: their shingles, the document of each, each document's first and their number."""
+    data, offsets = C.text_bytes(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + C.BLOCK_BYTES // 2, "right")) - 1)
+        h, owner = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
+        first = np.searchsorted(owner, np.arange(j - i))
+        yield i, j, h, owner, first, np.diff(np.append(first, len(h)))
+        i = j
+
+
 def features(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, hash (XXH64 of the text), node (of equal texts the same), fingerprint, band keys and sketch of each row."""
     C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = C.text_bytes(batch.column(1))
-            text, i = batch.column(2).to_numpy(), 0
-            while i < batch.num_rows:  # whole documents
-                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + C.BLOCK_BYTES // 2, "right")) - 1)
-                h, owner = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                first = np.searchsorted(owner, np.arange(j - i))
-                count = np.diff(np.append(first, len(h)))
+            text = batch.column(2).to_numpy()
+            for i, j, h, owner, first, count in _parts(batch.column(1), size):
                 ones = np.zeros((j - i, 64), np.int64)
                 for k in range(0, len(h), VOTES):  # some shingles at a time: 64 bytes each, and as many longs while they are added up
                     bits = np.unpackbits(h[k : k + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -77,37 +89,107 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                 node = C.mix(text[i:j].view(np.uint64) ^ C.mix(keys[:, 0].view(np.uint64) + fp.view(np.uint64))).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(node), pa.array(fp), lists, pa.array(sketch, pa.binary())], ["doc_id", "hash", "node", "fp", "keys", "sketch"])
-                i = j
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(C.trimmed(run), _FEATURES)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets from their SKETCH smallest elements, ascending: of what lies below the end of a full sketch."""
+def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int, bool]:
+    """Jaccard similarity of two sets from their SKETCH smallest elements, ascending: of what lies below the end of a full sketch; of how many elements; whether of all."""
     union = np.union1d(a, b)
     full = [x[-1] for x in (a, b) if len(x) >= SKETCH - 2]  # but for equal halves, sets that may have more
     if full:
         union = union[union <= min(full)]
     common = np.intersect1d(a, b, assume_unique=True)
-    return float((common <= union[-1]).sum()) / len(union)
+    return float((common <= union[-1]).sum()) / len(union), len(union), not full
+
+
+def verdict(a: np.ndarray, b: np.ndarray, least: float) -> bool | None:
+    """Whether sets with these sketches are similar; None: the sketches don't tell."""
+    found, n, whole = estimate(a, b)
+    margin = 3 / n if whole else max(3 / n, SURE * (least * (1 - least) / n) ** 0.5)  # different hashes can have equal halves
+    return None if abs(found - least) <= margin else found > least
 
 
-def cell_links(node: np.ndarray, fp: np.ndarray, sketch: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """A forest of the links of one cell."""
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether two whole sets, ascending, have at least this Jaccard similarity."""
+    a, b = sorted((a, b), key=len)
+    if len(a) < least * len(b) - 1:
+        return False
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return common / (len(a) + len(b) - common) >= least
+
+
+def cell_links(node: np.ndarray, fp: np.ndarray, sketch: list[np.ndarray], least: float, whole: Callable[[int], np.ndarray] | None = None) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """A forest of the links of one cell; without whole, the set of an entry, also the groups of entries (indices) that undecided pairs hold together."""
     table = np.bitwise_count(fp[:, None] ^ _REFERENCES[None, :]).astype(np.int16)
-    root, out = np.arange(len(node)), []
+    root, out, open_ = np.arange(len(node)), [], []
     for i in range(1, len(node)):
         near = np.flatnonzero(np.abs(table[:i] - table[i]).max(1) <= RADIUS)
         bits = np.bitwise_count(fp[near] ^ fp[i])
         near = near[bits <= RADIUS][np.argsort(bits[bits <= RADIUS], kind="stable")]
+        near = near[root[near] != root[i]]
         while len(near):
             j = int(near[0])
-            if root[j] != root[i] and similarity(sketch[i], sketch[j]) >= least:
+            linked = verdict(sketch[i], sketch[j], least)
+            if linked is None and whole is not None:
+                linked = similar(whole(i), whole(j), least)
+            if linked:
                 out.append((int(node[i]), int(node[j])))
+            if linked is None:
+                open_.append(i)
+            if linked is not False:
                 root[root == root[j]] = root[i]
             near = near[1:]
             near = near[root[near] != root[i]]
-    return out
+    return out, [np.flatnonzero(root == r) for r in np.unique(root[open_])] if open_ else []
+
+
+def _groupwise(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
+    """The further columns of rows that agree in the first width columns, and stand together."""
+    held: list[tuple] = []
+    now = None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:width] != now:
+                if len(held) > 1:
+                    yield held
+                held, now = [], row[:width]
+            held.append(row[width:])
+    if len(held) > 1:
+        yield held
+
+
+def _whole_sets(docs: DataFrame, seen: DataFrame, nodes: DataFrame, size: int, folder: str) -> DataFrame:
+    """Writes all shingle hashes of nodes, many to a file; node, file, start and count of each."""
+    place = seen.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("p"))
+    place = C.stored(place.select("node", F.col("p.doc_id").alias("at_id"), F.col("p.hash").alias("at_hash")), "near-copies-places")
+    place = F.broadcast(place) if place.count() * 24 <= 4 << 20 else place  # bytes
+    texts = docs.select("doc_id", "text").join(place, F.col("doc_id").cast("long").eqNullSafe(F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+
+        def flush() -> pa.RecordBatch:
+            name = f"{folder}/{hashlib.blake2b(b''.join(h for _, h in held), digest_size=16).hexdigest()}"
+            C.put_file(name, b"".join(h for _, h in held))
+            count = np.array([len(h) // 8 for _, h in held])
+            out = [pa.array([n for n, _ in held], pa.int64()), pa.array([name] * len(held)), pa.array(np.cumsum(count) - count), pa.array(count)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(out, ["node", "file", "start", "count"])
+
+        total = 0
+        for batch in batches:
+            node = batch.column(0).to_pylist()
+            for i, j, h, _, first, count in _parts(batch.column(1), size):
+                held += [(node[i + k], h[a : a + n].tobytes()) for k, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True))]
+                total += h.nbytes
+                if total >= FILE_BYTES:
+                    yield flush()
+                    total = 0
+        if held:
+            yield flush()
+
+    return C.stored(texts.select("node", "text").mapInArrow(C.trimmed(run), "node long, file string, start long, count long").dropDuplicates(["node"]), "near-copies-sets")
 
 
 def groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -120,27 +202,39 @@ def groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> tuple[DataFram
     sketches = seen.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("sketch").alias("sketch"))
     rows = members.join(pick, "node").join(sketches, "node").select("band", "key", "node", "fp", "sketch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        now = None
+    def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
 
-        def close() -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groupwise(batches, 2):
             node, fp, sketch = zip(*held, strict=True)
-            found = cell_links(np.array(node, np.int64), np.array(fp, np.int64).view(np.uint64), [np.frombuffer(s, np.uint32) for s in sketch], least)
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for band, key, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (band, key) != now and len(held) > 1:
-                    yield close()
-                if (band, key) != now:
-                    held, now = [], (band, key)
-                held.append(tuple(rest))
-        if len(held) > 1:
-            yield close()
-
-    links = rows.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(C.trimmed(run), "a long, b long")
-    return seen.select("doc_id", "hash", "node"), components(links)
+            found, open_ = cell_links(np.array(node, np.int64), np.array(fp, np.int64).view(np.uint64), [np.frombuffer(s, np.uint32) for s in sketch], least)
+            out = [(None, a, b) for a, b in found]
+            for group in open_:  # the same in several cells is one
+                name = hashlib.blake2b(np.sort(np.array(node, np.int64)[group]).tobytes(), digest_size=8).digest()
+                out += [(int.from_bytes(name, "little", signed=True), node[k], fp[k]) for k in group]
+            yield batch(out, ["group", "a", "b"])
+
+    links = rows.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(C.trimmed(run), "group long, a long, b long")
+    links = C.stored(links, "near-copies-links")
+    sure = links.filter("group is null").select("a", "b")
+    open_ = links.filter("group is not null").select("group", F.col("a").alias("node"), F.col("b").alias("fp")).distinct()
+    if not open_.limit(1).count():
+        return seen.select("doc_id", "hash", "node"), components(sure)
+    folder = C.shared_dir(docs.sparkSession, "near-copies-shingles")
+    sets = _whole_sets(docs, seen, open_.select("node").distinct(), size, folder)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groupwise(batches, 1):
+            node, fp, file, start, count = zip(*held, strict=True)
+            sketch = [np.unique(C.file_part(f, "u8", s, min(n, SKETCH)) >> np.uint64(32)).astype(np.uint32) for f, s, n in zip(file, start, count, strict=True)]
+            found, _ = cell_links(np.array(node, np.int64), np.array(fp, np.int64).view(np.uint64), sketch, least, lambda i, f=file, s=start, n=count: C.file_part(f[i], "u8", s[i], n[i]))
+            yield batch(found, ["a", "b"])
+
+    checked = open_.join(sets, "node").select("group", "node", "fp", "file", "start", "count").repartition("group").sortWithinPartitions("group", "node")
+    checked = C.stored(checked.mapInArrow(C.trimmed(again), "a long, b long"), "near-copies-checked")
+    C.discard(docs.sparkSession, folder)
+    return seen.select("doc_id", "hash", "node"), components(sure.unionByName(checked))
 
 
 def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:

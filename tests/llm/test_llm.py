@@ -320,6 +320,22 @@ def test_near_dedup_of_odd_rows(odd, none):
     assert simhash_dedup.classes(odd).count() == 6 and simhash_dedup.classes(none).count() == 0
 
 
+def test_near_copies_of_long_texts_are_decided_exactly(spark):
+    shingled = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts, alike = [], []
+    for k in range(40):
+        one = [f"w{k}x{i}" for i in range(3000)]
+        other = list(one)
+        for e in range(57 + k // 2):  # five shingles each
+            other[10 + 37 * e] += "e"
+        a, b = shingled(one), shingled(other)
+        texts += [" ".join(one), " ".join(other)]
+        alike.append(len(a & b) / len(a | b) >= 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == sorted([*range(0, 80, 2), *(2 * k + 1 for k in range(40) if not alike[k])])
+    assert 0 < sum(alike) < 40
+
+
 def test_near_copies_keep_one_of_each_group(spark, odd, none):
     rnd = random.Random(6)
     base = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(200)) for _ in range(6)]
