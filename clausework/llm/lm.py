@@ -26,6 +26,7 @@ END, BEGIN = np.uint64(0xA076_1D64_78BD_642F), np.uint64(0xE703_7ED1_A0B4_28DB)
 _STEP = np.uint64(0xD6E8_FEB8_6659_FD93)
 #: Tokens that a mapper counts together, and bytes of text for each bucket of the model.
 COUNT_TOKENS, BUCKET_BYTES = 2_000_000, 32 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ROWS = "kind string, bucket int, payload binary"
 
 
@@ -84,6 +85,35 @@ def _unpack(payload: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _pack_grams(columns: list[np.ndarray], level: int) -> bytes:
+    """The first level columns are words: sent once each, ascending, and then by their place; the bytes of a value stand apart, which packs better."""
+    n = len(columns[0])
+    words, at = np.unique(np.concatenate(columns[:level]), return_inverse=True)
+    at = at.astype("u4").reshape(level, n)
+    first = np.diff(at[0].astype("i8"), prepend=0).astype("i4")  # near zero where the first word is sorted
+    apart = [np.ascontiguousarray(c).view("u1").reshape(n, -1).T for c in (first, *at[1:], *columns[level:])]
+    raw = b"".join([words.tobytes(), *(c.tobytes() for c in apart)])
+    return b"".join(x.to_bytes(8, "little") for x in (n, len(words), len(raw))) + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpack_grams(payload: bytes, level: int, counts: list[str]) -> list[np.ndarray]:
+    n, distinct, size = (int.from_bytes(payload[k : k + 8], "little") for k in (0, 8, 16))
+    raw, out = pa.Codec("zstd").decompress(payload[24:], size, asbytes=True), []
+    words, start = np.frombuffer(raw, "u8", distinct), 8 * distinct
+    for k in ["i4"] + ["u4"] * (level - 1) + counts:
+        width = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(raw, "u1", n * width, start).reshape(width, n).T).view(k).ravel())
+        start += n * width
+    out[0] = np.cumsum(out[0], dtype=np.int64)
+    return [*(words[x] for x in out[:level]), *out[level:]]
+
+
+def _least(columns: list[np.ndarray]) -> bytes:
+    """The columns in the narrowest type that holds them all."""
+    kind = np.min_scalar_type(max((int(c.max()) for c in columns if len(c)), default=0))
+    return b"".join(c.astype(kind).tobytes() for c in columns)
+
+
 def _combine(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Sums of the counts for each distinct n-gram: hashes in ascending order, words, sums."""
     h = _hash(words)
@@ -93,15 +123,13 @@ def _combine(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
     return h[first], [w[order[first]] for w in words], [np.add.reduceat(c[order], first) if len(h) else c for c in counts]
 
 
-def _deal(kind: str, hashes: np.ndarray, columns: list[np.ndarray], bits: int, by: int | None = None) -> Iterator[tuple[str, int, bytes]]:
-    """Rows for each bucket; hashes ascend. by: sort each bucket by this column, which packs better."""
+def _deal(kind: str, hashes: np.ndarray, columns: list[np.ndarray], bits: int, level: int) -> Iterator[tuple[str, int, bytes]]:
+    """Rows for each bucket, of level words and counts, sorted by the words; hashes ascend."""
     cuts = np.searchsorted(_bucket(hashes, bits), np.arange(2**bits + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         part = [c[cuts[b] : cuts[b + 1]] for c in columns]
-        if by is not None:
-            order = np.argsort(part[by], kind="stable")
-            part = [c[order] for c in part]
-        yield kind, int(b), _pack(part)
+        order = np.lexsort(part[:level][::-1])
+        yield kind, int(b), _pack_grams([c[order] for c in part], level)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -117,11 +145,11 @@ def _count_mapper(order: int, bits: int) -> Callable:
             held.clear()
             one = np.ones(len(h), np.uint32)
             w, _, (c,) = _combine([h], [one])
-            for r in _deal("word", w, [w, c.astype(np.uint32)], bits):
+            for r in _deal("word", w, [w, c.astype(np.uint32)], bits, 1):
                 yield _batch([r])
             if order > 1:
                 g, words, (c,) = _combine(histories(h, d, order), [one])
-                for r in _deal("gram", g, [*words, c.astype(np.uint32)], bits, by=0):
+                for r in _deal("gram", g, [*words, c.astype(np.uint32)], bits, order):
                     yield _batch([r])
 
         size = base = 0
@@ -142,7 +170,7 @@ def _merged(rows: list[bytes], level: int, counts: list[str]) -> tuple[np.ndarra
     """Rows of one bucket summed, some at a time so that memory stays near the size of the result."""
     parts: list[list[np.ndarray]] = []
     for k in range(0, len(rows), 8):
-        new = [_unpack(r, ["u8"] * level + counts) for r in rows[k : k + 8]]
+        new = [_unpack_grams(r, level, counts) for r in rows[k : k + 8]]
         columns = [np.concatenate(x) for x in zip(*parts, *new, strict=True)]
         _, words, sums = _combine(columns[:level], [c.astype(np.uint64) for c in columns[level:]])
         parts = [[*words, *sums]]
@@ -158,7 +186,7 @@ def _reducer(folder: str, level: int, bits: int) -> Callable:
         h, words, sums = _merged(rows, n, ["u8"] * 4 if kind == "context" else ["u4"])
         name = f"{folder}/{kind}{level if kind != 'word' else ''}-{bucket}"
         C.put_file(f"{name}.h", h.tobytes())
-        C.put_file(f"{name}.c", b"".join(s.astype("u4" if len(sums) == 1 else "u8").tobytes() for s in sums))
+        C.put_file(f"{name}.c", _least(sums))
         if kind == "context":
             return
         c = sums[0]
@@ -166,9 +194,9 @@ def _reducer(folder: str, level: int, bits: int) -> Callable:
         if kind == "gram" and level > 1:
             some = [c, c == 1, c == 2, c >= 3]
             ch, context, values = _combine(words[:-1], [x.astype(np.uint64) for x in some])
-            yield from _deal("context", ch, [*context, *values], bits)
+            yield from _deal("context", ch, [*context, *values], bits, level - 1)
             sh, suffix, (n1,) = _combine(words[1:], [np.ones(len(c), np.uint64)])
-            yield from _deal("next", sh, [*suffix, n1.astype(np.uint32)], bits)
+            yield from _deal("next", sh, [*suffix, n1.astype(np.uint32)], bits, level - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, int], list[bytes]] = {}
@@ -213,9 +241,10 @@ class Model:
             if (table, b) not in self.files:
                 try:
                     keys = C.map_file(f"{self.folder}/{table}-{b}.h", "u8")
-                    values = C.map_file(f"{self.folder}/{table}-{b}.c", kind)
+                    values = C.map_file(f"{self.folder}/{table}-{b}.c", "u1")
+                    values = values.view(f"u{len(values) // (width * len(keys))}") if len(keys) else values
                 except FileNotFoundError:
-                    keys, values = np.empty(0, np.uint64), np.empty(0, kind)
+                    keys, values = np.empty(0, np.uint64), np.empty(0, np.uint8)
                 self.files[table, b] = keys, values.reshape(width, -1) if len(keys) else values
             keys, values = self.files[table, b]
             if len(keys):
@@ -255,27 +284,28 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     """Count the texts of docs (column text) into a model in the shared folder."""
     spark = docs.sparkSession
     C.bound_batches(spark)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # no job here reads another's shuffle
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
     folder = C.shared_dir(spark, "kneser-ney")
     rows = docs.select("text").mapInArrow(C.trimmed(_count_mapper(order, bits)), ROWS)
     stats: dict[str, list[int]] = {}
-    contexts: list[tuple[int, DataFrame]] = []
-    passed: list[str] = []
+    passed = ""
     for level in range(order, 0, -1):
-        passed.append(C.shared_dir(spark, "kneser-ney-level"))
-        rows.repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).write.parquet(passed[-1])
-        out = spark.read.schema(ROWS).parquet(passed[-1])
+        before, passed = passed, C.shared_dir(spark, "kneser-ney-level")
+        rows.repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).write.parquet(passed)
+        if before:  # scorers read the arrays alone
+            C.discard(spark, before)
+        out = spark.read.schema(ROWS).parquet(passed)
         for r in out.filter(F.col("kind").startswith("stats")).select("kind", F.col("payload").cast("string").alias("j")).collect():  # one a bucket
             key = "word" if r["kind"] == "stats-word" else f"gram{level}"
             stats[key] = [a + b for a, b in zip(stats.get(key, [0] * 7), json.loads(r["j"]), strict=True)]
         if level > 1:
-            contexts.append((level, out.filter("kind = 'context'")))
+            out.filter("kind = 'context'").repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).count()
             rows = out.filter("kind = 'next'").withColumn("kind", F.lit("gram"))
-    for level, c in contexts:
-        c.repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).count()
-    for p in passed:  # scorers read the arrays alone
-        C.discard(spark, p)
+    C.discard(spark, passed)
+    spark.conf.set(_CLEANUP, was)
     return Model(folder, order, bits, stats)
 
 

@@ -21,9 +21,13 @@ def vocabulary() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
+#: Words in the longest n-grams of the language model.
+ORDER = 3
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm.fit(docs.filter(~lm.held_out("doc_id", 7, 2)))
+    model = lm.fit(docs.filter(~lm.held_out("doc_id", 7, 2)), ORDER)
     out = lm.score(docs, model)
     return out.select("doc_id", lm.held_out("doc_id", 7, 2).alias("held_out"), *out.columns[1:])
 

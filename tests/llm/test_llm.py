@@ -34,6 +34,30 @@ def corpus():
     return [(k, t, "en", f"s{k % 3}" if k % 7 else None, len(t or "")) for k, t in enumerate(texts)]
 
 
+def trigram_scores(rows):
+    """Sum of log10 probabilities of each document, by an interpolated modified Kneser-Ney trigram model in plain Python."""
+    tokens = {k: [*words(t), "</s>"] for k, t, *_ in rows}
+    padded = {k: ["<s>", "<s>", *t] for k, t in tokens.items()}
+    train = [k for k in tokens if zlib.crc32(str(k).encode()) % 7 != 2]
+    v = len({w for k in train for w in tokens[k]})
+    counts = {3: Counter(g for k in train for g in zip(padded[k], padded[k][1:], padded[k][2:], strict=False))}
+    for n in (2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    cut = {n: lm.Discounts(*(sum(x == k for x in c.values()) for k in (1, 2, 3, 4))).d for n, c in counts.items()}
+    total, free = Counter(), Counter()
+    for n, c in counts.items():
+        for g, x in c.items():
+            total[n, g[:-1]] += x
+            free[n, g[:-1]] += cut[n][min(x, 3)]
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (v + 1)
+        key = len(g), g[:-1]
+        return (max(counts[len(g)][g] - cut[len(g)][min(counts[len(g)][g], 3)], 0) + free[key] * lower) / total[key] if total[key] else lower
+
+    return {k: sum(math.log10(p(g)) for g in zip(t, t[1:], t[2:], strict=False)) for k, t in padded.items()}
+
+
 @pytest.fixture(scope="module")
 def rows():
     return corpus()
@@ -99,6 +123,13 @@ def test_language_model_of_three_words_and_odd_rows(docs, odd, none):
 # 2
 
 
+def test_registered_language_model_is_of_three_words(spark, docs, rows, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = got(queries.op1_lm_scoring(spark, str(tmp_path)))
+    for k, score in trigram_scores(rows).items():
+        assert math.isclose(out[k]["score"], score, abs_tol=1e-8)
+
+
 def test_fingerprints_and_edits(docs, rows):
     out = got(fingerprints.compare(docs))
     order = sorted(rows, key=lambda r: -r[0])
