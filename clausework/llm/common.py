@@ -5,6 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
@@ -12,6 +14,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that numpy steps look at together; longer documents are cut at white space.
 BLOCK_BYTES = 1 << 20
@@ -50,27 +53,41 @@ def trimmed(run: Callable) -> Callable:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which the driver and all executors see; only where that is unset, a local one."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A fresh folder below spark.checkpoint.dir, which the driver and all executors see; where that is unset, a local one if the driver is all there is."""
+    context = spark.sparkContext
+    top = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not top:
-        top = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = top.get() if top.isDefined() else "/tmp/clausework-shared"
+        own = context._jsc.sc().getCheckpointDir()
+        if own.isDefined():
+            top = own.get()
+        elif re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            top = f"{tempfile.gettempdir()}/clausework-shared"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
-    """df with its lineage cut by files that every executor can read."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=eager)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*frames: DataFrame) -> None:
+    """Remove the files of frames that stored() returned."""
+    for df in frames:
+        discard(df.sparkSession, df.stored_at)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or with underscores behind it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def discard(spark: SparkSession, folder: str) -> None:
@@ -128,6 +145,94 @@ def file_part(uri: str, kind: str, start: int, count: int) -> np.ndarray:
     return np.fromfile(path, kind, count, offset=start * width)
 
 
+def bucket_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The upper bits of 64-bit keys."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def bits_for(size: int, each: int, least: int = 2) -> int:
+    """Bits of a bucket number, so that a bucket holds about `each` of `size`."""
+    return max(least, (max(1, -(-size // each)) - 1).bit_length())
+
+
+def present(written: DataFrame, n: int) -> bytes:
+    """A bit for each of n buckets: whether it is among the rows of written (bucket int), the result of the job that writes the buckets' files."""
+    out = np.zeros(-(-n // 8), np.uint8)
+    whole = written.groupBy(F.bitmap_bucket_number(F.col("bucket") + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bucket") + 1)).alias("m"))
+    for r in whole.collect():  # four kilobytes for 32,768 buckets
+        part = np.frombuffer(r["m"], np.uint8)
+        at = (r["b"] - 1) * len(part)
+        out[at : at + len(part)] = part[: max(0, len(out) - at)]
+    return out.tobytes()
+
+
+class Shelf:
+    """Arrays in the shared folder, a file for each bucket of the first column and each column, sorted by the first; a worker maps each bucket once.
+
+    `there` tells which buckets have been written: a missing file of one of them is an error, not an empty bucket.
+    """
+
+    def __init__(self, folder: str, kind: str, kinds: list[str], bits: int, there: bytes):
+        self.folder, self.kind, self.kinds, self.bits, self.there = folder, kind, kinds, bits, there
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "files"}
+
+    def columns(self, b: int) -> list[np.ndarray] | None:
+        files = self.__dict__.setdefault("files", {})
+        if b not in files:
+            files[b] = [map_file(f"{self.folder}/{self.kind}-{b}.{k}", t) for k, t in enumerate(self.kinds)] if self.there[b >> 3] >> (b & 7) & 1 else None
+        return files[b]
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which of the keys each record is of, and the records' other columns."""
+        who, out = [], []
+        buckets = bucket_of(keys, self.bits)
+        for b in np.unique(buckets).tolist():
+            if (columns := self.columns(b)) is None:
+                continue
+            mine = np.flatnonzero(buckets == b)
+            lo, hi = (np.searchsorted(columns[0], keys[mine], side) for side in ("left", "right"))
+            size = hi - lo
+            at = np.repeat(hi - np.cumsum(size), size) + np.arange(size.sum())
+            who.append(np.repeat(mine, size))
+            out.append([c[at] for c in columns[1:]])
+        if not out:
+            return np.empty(0, np.int64), [np.empty(0, t) for t in self.kinds[1:]]
+        return np.concatenate(who), [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def put_bucket(folder: str, kind: str, bucket: int, columns: list[np.ndarray]) -> None:
+    """A shelf's files for one bucket."""
+    order = np.lexsort((columns[1], columns[0])) if len(columns) > 1 else np.argsort(columns[0])
+    for k, c in enumerate(columns):
+        put_file(f"{folder}/{kind}-{bucket}.{k}", c[order].tobytes())
+
+
+#: Rows of a shelf's bucket.
+BUCKET_ROWS = 1 << 19
+
+
+def shelve(df: DataFrame, rows: int, kinds: list[str], what: str) -> Shelf:
+    """A shelf of df, whose columns are of fixed width and whose first is a long that holds 64 well-mixed bits."""
+    spark, bits = df.sparkSession, bits_for(rows, BUCKET_ROWS, 3)
+    folder = shared_dir(spark, what)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        for b in np.unique(columns[0]).tolist():
+            mine = columns[0] == b
+            put_bucket(folder, "row", b, [c[mine].view(k) if np.dtype(k).itemsize == c.dtype.itemsize else c[mine].astype(k) for c, k in zip(columns[1:], kinds, strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32())], ["bucket"])
+
+    bucket = F.shiftrightunsigned(F.col(df.columns[0]), 64 - bits).cast("int")
+    written = df.select(bucket.alias("shelf_bucket"), *df.columns).repartitionById(2**bits, "shelf_bucket").mapInArrow(trimmed(run), "bucket int")
+    return Shelf(folder, "row", kinds, bits, present(written, 2**bits))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and document offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

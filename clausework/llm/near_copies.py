@@ -1,13 +1,18 @@
-"""Near copies among documents by SimHash: word shingles that two documents share to a given part.
+"""Near copies among documents by SimHash: five-word shingle sets that two documents share to a given part.
 
-A SimHash of the shingles can differ in many bits at a similarity of 0.8, too many for block tables. So documents meet in
-cells: each of BANDS keys is made of ROWS smallest shingle hashes under permutations of its own, and two documents of
-similarity s have such a key in common with probability 1 - (1 - s**ROWS)**BANDS (0.9997 at 0.8). In a cell, pairs are
-discarded if their distances to any pivot differ by more than RADIUS bits, then if they themselves do; for survivors the
-similarity is estimated from the upper halves of the SKETCH smallest shingle hashes of either. Only what lies SURE standard
-errors from the threshold is decided by that; entries that other pairs could link make up a group, the sorted shingle hashes
-of its members are written to the shared folder, and the group is gone through again with the exact similarity of the pairs
-between. A task sends on a forest of links. Equal texts are one entry, so groups of copies are one row before anything is dealt out.
+Each text has a SimHash of BITS bits, by the majority of its shingles' hashes, and BANDS keys, each made of ROWS smallest
+shingle hashes under permutations of its own. Texts that share a key meet in a cell; two of similarity s do so in some cell
+with probability 1 - (1 - s**ROWS)**BANDS (1 - 4e-7 at 0.8). Fingerprints of such texts differ in at most RADIUS bits, and
+so do their distances to any reference fingerprint, but for chance below 1e-8.
+
+* First, each text is compared with its cells' smallest one, each pair once. Cells whose texts are connected then are done,
+  which large groups of copies are, however many texts they hold.
+* In a cell that isn't, PIVOTS of its own fingerprints, each as far as can be from those before it, are references. All
+  texts' distances to them are computed once; pairs of unconnected texts are discarded by their largest difference in any of
+  these, then by their own distance. A cell of over BLOCK texts is dealt out as pairs of blocks, so no task has a large one.
+
+Survivors are decided by their whole shingle sets, which are kept in files of the shared folder, for texts that share a cell
+only. Equal texts are one entry, so exact copies are one row before anything is dealt out. Only links of a forest are sent on.
 
 Defined results: a null text is empty; texts without words are equal to each other; texts shorter than a shingle are one
 shingle; repeated rows are copies; a null id never stands for a group that has another; an empty table gives no rows.
@@ -20,24 +25,28 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
 from .graph import components
-from .simhash_dedup import _REFERENCES
 
-BANDS, ROWS, SKETCH, RADIUS = 8, 2, 512, 26
-#: Standard errors between an estimate that decides and the threshold, and bytes of shingle hashes in a file.
-SURE, FILE_BYTES = 5.0, 16 << 20
-#: Shingles whose bits are counted together.
-VOTES = 8_192
-_SEEDS = np.random.default_rng(23).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
-_FEATURES = "doc_id long, hash long, node long, fp long, keys array<long>, sketch binary"
+BANDS, ROWS, BITS, RADIUS, PIVOTS, BLOCK = 28, 4, 256, 84, 16, 512
+#: Bytes of shingle hashes in a file, and of those that a task keeps at hand.
+FILE_BYTES, CACHE_BYTES = 16 << 20, 64 << 20
+#: Shingles whose bits are counted together, and in one byte.
+VOTES, LANE = 8_192, 255
+PLANES = [f"fp{k}" for k in range(BITS // 64)]
+_SALTS = np.random.default_rng(31).integers(1, 2**63, len(PLANES), dtype=np.uint64)
+_FLIPS = np.random.default_rng(23).integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
+_FACTORS = np.random.default_rng(29).integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FEATURES = f"doc_id long, hash long, node long, {', '.join(f'{p} long' for p in PLANES)}, keys array<long>"
+_SETS = ["u8", "i8", "u1", "i8"]  # hash of the text, id, whether the id is null, node
+_KEPT = ["u8", "i8", "u1", "u1"]  # hash of the text, id, whether the id is null, whether the row is repeated
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each shingle and the document it is of; every document has one at least."""
+    """Hash of each distinct shingle, ascending inside a document, and the document it is of; every document has one at least."""
     h, doc = C.tokens(data, offsets)
     n = len(offsets) - 1
     first = np.searchsorted(doc, np.arange(n + 1))
@@ -51,9 +60,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     hashes, owner = np.concatenate((out[whole], np.zeros(len(none), np.uint64))), np.concatenate((doc[whole], none))
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]
-    fresh = np.ones(len(hashes), bool)
-    fresh[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    return hashes[fresh], owner[fresh]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    return hashes[new], owner[new]
 
 
 def _parts(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -68,80 +77,108 @@ def _parts(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray,
         i = j
 
 
+def fingerprints(h: np.ndarray, owner: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """BITS bits of each document, as 64-bit words: those that over half of its shingles' hashes set."""
+    ones = np.zeros((len(first), BITS), np.int64)
+    place = np.arange(len(h)) - first[owner]
+    for k in range(0, len(h), VOTES):
+        part, whose = h[k : k + VOTES], owner[k : k + VOTES]
+        words = np.stack([C.mix(part ^ s) for s in _SALTS], 1)
+        bits = np.unpackbits(words.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little").view(np.uint64)  # eight counters to a word
+        begin = np.flatnonzero(place[k : k + VOTES] % LANE == 0)
+        begin = begin if len(begin) and begin[0] == 0 else np.concatenate(([0], begin))
+        sums = np.add.reduceat(bits, begin, axis=0).view(np.uint8)
+        np.add.at(ones, whose[begin], sums)
+    return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.uint64)
+
+
+def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """BANDS keys of each document."""
+    narrow = (h >> np.uint64(32)).astype(np.uint32)
+    least = [np.minimum.reduceat((narrow ^ s) * m, first).astype(np.uint64) for s, m in zip(_FLIPS, _FACTORS, strict=True)]
+    out = np.empty((len(first), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(first), b, np.uint64)
+        for x in least[ROWS * b : ROWS * (b + 1)]:
+            key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + x)
+        out[:, b] = key
+    return out
+
+
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, hash (XXH64 of the text), node (of equal texts the same), fingerprint, band keys and sketch of each row."""
+    """doc_id, hash (XXH64 of the text), node (of equal texts the same), fingerprint words and band keys of each row."""
     C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = batch.column(2).to_numpy()
             for i, j, h, owner, first, count in _parts(batch.column(1), size):
-                ones = np.zeros((j - i, 64), np.int64)
-                for k in range(0, len(h), VOTES):  # some shingles at a time: 64 bytes each, and as many longs while they are added up
-                    bits = np.unpackbits(h[k : k + VOTES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    whose = owner[k : k + VOTES]
-                    begin = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
-                    ones[whose[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int64)
-                fp = np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-                least = [np.minimum.reduceat(C.mix(h ^ s), first) for s in _SEEDS]
-                keys = np.stack([C.mix(least[ROWS * b] + np.uint64(3) * least[ROWS * b + 1]) for b in range(BANDS)], 1).view(np.int64)
-                sketch = [np.unique(h[a : a + min(n, SKETCH)] >> np.uint64(32)).astype(np.uint32).tobytes() for a, n in zip(first.tolist(), count.tolist(), strict=True)]
-                node = C.mix(text[i:j].view(np.uint64) ^ C.mix(keys[:, 0].view(np.uint64) + fp.view(np.uint64))).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(node), pa.array(fp), lists, pa.array(sketch, pa.binary())], ["doc_id", "hash", "node", "fp", "keys", "sketch"])
+                fp, keys = fingerprints(h, owner, first, count), band_keys(h, first)
+                node = C.mix(text[i:j].view(np.uint64) ^ C.mix(keys[:, 0] + fp[:, 0])).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(node), *(pa.array(np.ascontiguousarray(fp[:, k]).view(np.int64)) for k in range(len(PLANES))), lists], ["doc_id", "hash", "node", *PLANES, "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(C.trimmed(run), _FEATURES)
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> tuple[float, int, bool]:
-    """Jaccard similarity of two sets from their SKETCH smallest elements, ascending: of what lies below the end of a full sketch; of how many elements; whether of all."""
-    union = np.union1d(a, b)
-    full = [x[-1] for x in (a, b) if len(x) >= SKETCH - 2]  # but for equal halves, sets that may have more
-    if full:
-        union = union[union <= min(full)]
-    common = np.intersect1d(a, b, assume_unique=True)
-    return float((common <= union[-1]).sum()) / len(union), len(union), not full
-
-
-def verdict(a: np.ndarray, b: np.ndarray, least: float) -> bool | None:
-    """Whether sets with these sketches are similar; None: the sketches don't tell."""
-    found, n, whole = estimate(a, b)
-    margin = 3 / n if whole else max(3 / n, SURE * (least * (1 - least) / n) ** 0.5)  # different hashes can have equal halves
-    return None if abs(found - least) <= margin else found > least
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether two whole sets, ascending, have at least this Jaccard similarity."""
+    """Whether two sets, ascending, have at least this Jaccard similarity."""
     a, b = sorted((a, b), key=len)
-    if len(a) < least * len(b) - 1:
+    if len(a) < least * len(b):
         return False
     common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-    return common / (len(a) + len(b) - common) >= least
+    return common >= least * (len(a) + len(b) - common)
+
+
+def distances(fp: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Bits in which the fingerprints (rows) differ from one."""
+    return np.bitwise_count(fp ^ to).sum(1).astype(np.int16)
+
+
+def pivot_table(fp: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+    """Distances of each fingerprint to n of them, each the farthest from those before it; fewer if all others are equal to one."""
+    columns = [distances(fp, fp[0])]
+    nearest = columns[0].copy()
+    while len(columns) < n and (far := int(nearest.argmax())) >= 0 and nearest[far] > 0:
+        columns.append(distances(fp, fp[far]))
+        np.minimum(nearest, columns[-1], out=nearest)
+    return np.stack(columns, 1)
 
 
-def cell_links(node: np.ndarray, fp: np.ndarray, sketch: list[np.ndarray], least: float, whole: Callable[[int], np.ndarray] | None = None) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-    """A forest of the links of one cell; without whole, the set of an entry, also the groups of entries (indices) that undecided pairs hold together."""
-    table = np.bitwise_count(fp[:, None] ^ _REFERENCES[None, :]).astype(np.int16)
-    root, out, open_ = np.arange(len(node)), [], []
+def cell_links(node: list[int], root: np.ndarray, part: np.ndarray, fp: np.ndarray, whole: Callable[[int], np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that connect what is similar in a cell, of entries of different roots, and of different parts unless all are of one."""
+    table, out = pivot_table(fp), []
+    _, root = np.unique(root, return_inverse=True)
+    across = part.min() != part.max()
     for i in range(1, len(node)):
-        near = np.flatnonzero(np.abs(table[:i] - table[i]).max(1) <= RADIUS)
-        bits = np.bitwise_count(fp[near] ^ fp[i])
+        near = np.flatnonzero((root[:i] != root[i]) & ((part[:i] != part[i]) | (not across)))
+        near = near[np.abs(table[near] - table[i]).max(1, initial=0) <= RADIUS]
+        bits = distances(fp[near], fp[i])
         near = near[bits <= RADIUS][np.argsort(bits[bits <= RADIUS], kind="stable")]
-        near = near[root[near] != root[i]]
         while len(near):
             j = int(near[0])
-            linked = verdict(sketch[i], sketch[j], least)
-            if linked is None and whole is not None:
-                linked = similar(whole(i), whole(j), least)
-            if linked:
-                out.append((int(node[i]), int(node[j])))
-            if linked is None:
-                open_.append(i)
-            if linked is not False:
+            if similar(whole(i), whole(j), least):
+                out.append((node[i], node[j]))
                 root[root == root[j]] = root[i]
             near = near[1:]
             near = near[root[near] != root[i]]
-    return out, [np.flatnonzero(root == r) for r in np.unique(root[open_])] if open_ else []
+    return out
+
+
+class _Sets:
+    """Reads shingle sets from their files; keeps what was read last."""
+
+    def __init__(self):
+        self.held, self.size = {}, 0
+
+    def __call__(self, file: str, start: int, count: int) -> np.ndarray:
+        if (file, start) not in self.held:
+            if self.size > CACHE_BYTES:
+                self.held.clear()
+                self.size = 0
+            self.held[file, start] = x = C.file_part(file, "u8", start, count)
+            self.size += x.nbytes
+        return self.held[file, start]
 
 
 def _groupwise(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
@@ -159,29 +196,42 @@ def _groupwise(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[t
         yield held
 
 
-def _whole_sets(docs: DataFrame, seen: DataFrame, nodes: DataFrame, size: int, folder: str) -> DataFrame:
-    """Writes all shingle hashes of nodes, many to a file; node, file, start and count of each."""
-    place = seen.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("p"))
-    place = C.stored(place.select("node", F.col("p.doc_id").alias("at_id"), F.col("p.hash").alias("at_hash")), "near-copies-places")
-    place = F.broadcast(place) if place.count() * 24 <= 4 << 20 else place  # bytes
-    texts = docs.select("doc_id", "text").join(place, F.col("doc_id").cast("long").eqNullSafe(F.col("at_id")) & (F.xxhash64("text") == F.col("at_hash")))
+def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _row_key(df_id: str | Column, text_hash: Column) -> list[Column]:
+    """What tells a row of documents: its text's hash (mixed), its id, and whether that is null."""
+    of = F.col(df_id) if isinstance(df_id, str) else df_id
+    return [F.xxhash64(text_hash).alias("at"), F.coalesce(of.cast("long"), F.lit(0)).alias("of"), of.isNull().cast("int").alias("none")]
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, size: int, folder: str) -> DataFrame:
+    """Writes all shingle hashes of the wanted nodes (node, first), many to a file: node, file, start and count of each. Texts aren't shuffled."""
+    spark = docs.sparkSession
+    shelf = C.shelve(wanted.select(*_row_key(F.col("first.doc_id"), F.col("first.hash")), "node"), wanted.count(), _SETS, "near-copies-wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes]] = []
+        held: list[tuple[int, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            name = f"{folder}/{hashlib.blake2b(b''.join(h for _, h in held), digest_size=16).hexdigest()}"
-            C.put_file(name, b"".join(h for _, h in held))
-            count = np.array([len(h) // 8 for _, h in held])
+            raw = b"".join(h.tobytes() for _, h in held)
+            name = f"{folder}/{hashlib.blake2b(raw, digest_size=16).hexdigest()}"
+            C.put_file(name, raw)
+            count = np.array([len(h) for _, h in held])
             out = [pa.array([n for n, _ in held], pa.int64()), pa.array([name] * len(held)), pa.array(np.cumsum(count) - count), pa.array(count)]
             held.clear()
             return pa.RecordBatch.from_arrays(out, ["node", "file", "start", "count"])
 
         total = 0
         for batch in batches:
-            node = batch.column(0).to_pylist()
-            for i, j, h, _, first, count in _parts(batch.column(1), size):
-                held += [(node[i + k], h[a : a + n].tobytes()) for k, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True))]
+            who, (of, none, node) = shelf.of(batch.column(1).to_numpy().view(np.uint64))
+            same = (batch.column(2).to_numpy()[who] == of) & (batch.column(3).to_numpy()[who] == none)
+            who, node = who[same], node[same]
+            if not len(who):
+                continue
+            for i, j, h, _, first, count in _parts(batch.column(0).take(pa.array(who)), size):
+                held += [(int(node[i + k]), h[a : a + n].copy()) for k, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True))]
                 total += h.nbytes
                 if total >= FILE_BYTES:
                     yield flush()
@@ -189,65 +239,98 @@ def _whole_sets(docs: DataFrame, seen: DataFrame, nodes: DataFrame, size: int, f
         if held:
             yield flush()
 
-    return C.stored(texts.select("node", "text").mapInArrow(C.trimmed(run), "node long, file string, start long, count long").dropDuplicates(["node"]), "near-copies-sets")
+    rows = docs.select("text", *_row_key("doc_id", F.xxhash64("text")))
+    out = C.stored(rows.mapInArrow(C.trimmed(run), "node long, file string, start long, count long").dropDuplicates(["node"]), "near-copies-sets")
+    C.discard(spark, shelf.folder)
+    return out
 
 
 def groups(docs: DataFrame, size: int = 5, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, hash, node) as in features(), and classes (node, root) of the nodes that are linked."""
+    """A row (node, first: its smallest row's none, doc_id and hash) for each distinct text, and classes (node, root) of the nodes that are linked."""
+    spark = docs.sparkSession
     seen = C.stored(features(docs, size), "near-copies")
-    pick = seen.groupBy("node").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "fp")).alias("m")).select("node", "m.fp")
-    cells = C.stored(seen.select("node", F.posexplode("keys").alias("band", "key")).distinct(), "near-copies-cells")
-    shared = cells.groupBy("band", "key").count().filter("count > 1").select("band", "key")
-    members = C.stored(cells.join(shared, ["band", "key"]), "near-copies-members")
-    sketches = seen.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.max("sketch").alias("sketch"))
-    rows = members.join(pick, "node").join(sketches, "node").select("band", "key", "node", "fp", "sketch")
-
-    def batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groupwise(batches, 2):
-            node, fp, sketch = zip(*held, strict=True)
-            found, open_ = cell_links(np.array(node, np.int64), np.array(fp, np.int64).view(np.uint64), [np.frombuffer(s, np.uint32) for s in sketch], least)
-            out = [(None, a, b) for a, b in found]
-            for group in open_:  # the same in several cells is one
-                name = hashlib.blake2b(np.sort(np.array(node, np.int64)[group]).tobytes(), digest_size=8).digest()
-                out += [(int.from_bytes(name, "little", signed=True), node[k], fp[k]) for k in group]
-            yield batch(out, ["group", "a", "b"])
-
-    links = rows.repartition("band", "key").sortWithinPartitions("band", "key", "node").mapInArrow(C.trimmed(run), "group long, a long, b long")
-    links = C.stored(links, "near-copies-links")
-    sure = links.filter("group is null").select("a", "b")
-    open_ = links.filter("group is not null").select("group", F.col("a").alias("node"), F.col("b").alias("fp")).distinct()
-    if not open_.limit(1).count():
-        return seen.select("doc_id", "hash", "node"), components(sure)
-    folder = C.shared_dir(docs.sparkSession, "near-copies-shingles")
-    sets = _whole_sets(docs, seen, open_.select("node").distinct(), size, folder)
-
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groupwise(batches, 1):
-            node, fp, file, start, count = zip(*held, strict=True)
-            sketch = [np.unique(C.file_part(f, "u8", s, min(n, SKETCH)) >> np.uint64(32)).astype(np.uint32) for f, s, n in zip(file, start, count, strict=True)]
-            found, _ = cell_links(np.array(node, np.int64), np.array(fp, np.int64).view(np.uint64), sketch, least, lambda i, f=file, s=start, n=count: C.file_part(f[i], "u8", s[i], n[i]))
-            yield batch(found, ["a", "b"])
-
-    checked = open_.join(sets, "node").select("group", "node", "fp", "file", "start", "count").repartition("group").sortWithinPartitions("group", "node")
-    checked = C.stored(checked.mapInArrow(C.trimmed(again), "a long, b long"), "near-copies-checked")
-    C.discard(docs.sparkSession, folder)
-    return seen.select("doc_id", "hash", "node"), components(sure.unionByName(checked))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    texts = C.stored(seen.groupBy("node").agg(first, *(F.first(c).alias(c) for c in (*PLANES, "keys"))), "near-copies-texts")
+    C.drop_stored(seen)
+    cells = texts.select("node", F.explode("keys").alias("key"))
+    heads = C.stored(cells.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).filter("n > 1"), "near-copies-heads")
+    members = C.stored(cells.join(heads.hint("merge"), "key"), "near-copies-members")
+    wanted = C.stored(texts.join(members.select("node").distinct().hint("merge"), "node").select("node", "first", *PLANES), "near-copies-wanted")
+    folder = C.shared_dir(spark, "near-copies-shingles")
+    sets = _whole_sets(docs, wanted, size, folder)
+    entries = C.stored(wanted.select("node", *PLANES).join(sets.hint("merge"), "node"), "near-copies-entries")
+    C.drop_stored(heads, wanted, sets)
+    width = len(PLANES)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _Sets()
+        for batch in batches:
+            a, b = (np.stack([batch.column(k + j).to_numpy() for j in range(width)], 1).view(np.uint64) for k in (1, width + 5))  # signed, np.bitwise_count would count another number's bits
+            near = np.flatnonzero(np.bitwise_count(a ^ b).sum(1) <= RADIUS)
+            rows = batch.take(pa.array(near))
+            (node, *x), (other, *y) = ([rows.column(k).to_pylist() for k in (at, at + width + 1, at + width + 2, at + width + 3)] for at in (0, width + 4))
+            mine, theirs = list(zip(*x, strict=True)), list(zip(*y, strict=True))
+            yield _links([(node[i], other[i]) for i in sorted(range(len(near)), key=theirs.__getitem__) if similar(read(*mine[i]), read(*theirs[i]), least)])
+
+    pairs = members.filter("node <> head").select("node", "head").distinct()
+    heads = entries.select(*(F.col(c).alias(f"head_{c}" if c != "node" else "head") for c in entries.columns))
+    both = pairs.join(entries.hint("merge"), "node").join(heads.hint("merge"), "head").select(*entries.columns, *heads.columns)
+    links = C.stored(both.mapInArrow(C.trimmed(compare), "a long, b long"), "near-copies-links")
+
+    # what is open: cells with texts, other than the head, that aren't connected by now
+    linked = components(links)
+    rest = C.stored(members.filter("node <> head").select("key", "n", "node").join(linked.hint("merge"), "node", "left").select("key", "n", "node", F.coalesce("root", "node").alias("root")), "near-copies-rest")
+    C.drop_stored(members)
+    open_ = C.stored(rest.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key"), "near-copies-open")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rest.join(open_.hint("merge"), "key").withColumn("part", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "root", "part", "node")
+    dealt = dealt.join(entries.hint("merge"), "node").select("key", "i", "j", "root", "part", *entries.columns)
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = _Sets()
+        for held in _groupwise(batches, 3):
+            root, part, node, *rest = zip(*held, strict=True)
+            fp = np.ascontiguousarray(np.array(rest[:width], np.int64).T).view(np.uint64)
+            place = list(zip(*rest[width:], strict=True))
+            yield _links(cell_links(node, np.array(root, np.int64), np.array(part), fp, lambda i, place=place: read(*place[i]), least))
+
+    more = C.stored(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(C.trimmed(connect), "a long, b long"), "near-copies-links")
+    C.discard(spark, folder)
+    C.drop_stored(rest, open_, entries)
+    out = components(links.unionByName(more))
+    C.drop_stored(links, more)
+    return texts, out
 
 
 def keep_one(docs: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id (a null is larger than any); of rows that repeat id and text, one. Columns as in docs."""
-    seen, linked = groups(docs, size, least)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
-    first = seen.groupBy("node").agg(F.min(place).alias("first"))
-    rooted = first.join(linked, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.hash").alias("kept_hash"))
-    stay = C.stored(stay, "near-copies-kept")
-    stay = F.broadcast(stay) if stay.count() * 24 <= 4 << 20 else stay  # bytes
-    marked = docs.withColumn("near_copy_hash", F.xxhash64("text"))
-    kept = marked.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("near_copy_hash") == F.col("kept_hash")), "left_semi")
-    if seen.groupBy("doc_id", "hash").count().filter("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "near_copy_hash"])
+    texts, linked = groups(docs, size, least)
+    rooted = texts.select("node", "first").join(linked.hint("merge"), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("hash")).groupBy("doc_id", "hash").agg(F.count("*").alias("n"))
+    same = stay["doc_id"].eqNullSafe(rows["doc_id"]) & (stay["hash"] == rows["hash"])
+    stay = C.stored(stay.join(rows.hint("merge"), same).select(*_row_key(stay["doc_id"], stay["hash"]), (F.col("n") > 1).cast("int").alias("more")), "near-copies-stay")
+    C.drop_stored(texts)
+    n, repeated = stay.agg(F.count("*"), F.sum("more")).first()
+    shelf = C.shelve(stay, n, _KEPT, "near-copies-kept")
+    C.drop_stored(stay)
+
+    @F.pandas_udf("int")
+    def place(at, of, none):  # 0: the row goes, 1: it stays, 2: it is repeated
+        import pandas as pd
+
+        who, (doc, null, more) = shelf.of(at.to_numpy().view(np.uint64))
+        out = np.zeros(len(at), np.int32)
+        same = (of.to_numpy()[who] == doc) & (none.to_numpy()[who] == null)
+        out[who[same]] = 1 + more[same]
+        return pd.Series(out)
+
+    name = C.fresh(docs, "near_copy_place")
+    marked = docs.withColumn(name, place(*_row_key("doc_id", F.xxhash64("text"))))
+    kept = marked.filter(F.col(name) == 1) if repeated else marked.filter(F.col(name) > 0)
+    if repeated:
+        text = C.fresh(docs, "near_copy_text")
+        kept = kept.unionByName(marked.filter(F.col(name) == 2).withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text))
     return kept.select(*docs.columns)
