@@ -42,10 +42,6 @@ def _hash(words: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
 def batch_tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a batch, each document followed by the end token, and each token's document."""
     data, offsets = C.text_bytes(column)
@@ -125,7 +121,7 @@ def _combine(words: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndar
 
 def _deal(kind: str, hashes: np.ndarray, columns: list[np.ndarray], bits: int, level: int) -> Iterator[tuple[str, int, bytes]]:
     """Rows for each bucket, of level words and counts, sorted by the words; hashes ascend."""
-    cuts = np.searchsorted(_bucket(hashes, bits), np.arange(2**bits + 1))
+    cuts = np.searchsorted(C.bucket_of(hashes, bits), np.arange(2**bits + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         part = [c[cuts[b] : cuts[b + 1]] for c in columns]
         order = np.lexsort(part[:level][::-1])
@@ -187,10 +183,8 @@ def _reducer(folder: str, level: int, bits: int) -> Callable:
         name = f"{folder}/{kind}{level if kind != 'word' else ''}-{bucket}"
         C.put_file(f"{name}.h", h.tobytes())
         C.put_file(f"{name}.c", _least(sums))
-        if kind == "context":
-            return
         c = sums[0]
-        yield f"stats-{kind}", level, json.dumps([int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), len(c), int(c.sum())]).encode()
+        yield f"stats-{kind}", bucket, json.dumps([int((c == k).sum()) for k in (1, 2, 3, 4)] + [int((c >= 3).sum()), len(c), int(c.sum())]).encode()
         if kind == "gram" and level > 1:
             some = [c, c == 1, c == 2, c >= 3]
             ch, context, values = _combine(words[:-1], [x.astype(np.uint64) for x in some])
@@ -225,8 +219,9 @@ class Discounts:
 class Model:
     """Where the arrays are, and the numbers that go with them; workers open the arrays on first use."""
 
-    def __init__(self, folder: str, order: int, bits: int, stats: dict[str, list[int]]):
-        self.folder, self.order, self.bits, self.stats = folder, order, bits, stats
+    def __init__(self, folder: str, order: int, bits: int, stats: dict[str, list[int]], there: dict[str, bytes]):
+        """there: for each table, a bit for each bucket that has been written; a missing file of one of them is an error."""
+        self.folder, self.order, self.bits, self.stats, self.there = folder, order, bits, stats, there
         self.n_tokens, self.n_words = stats.get("word", [0] * 7)[6], stats.get("word", [0] * 7)[5]
 
     def __getstate__(self) -> dict:
@@ -236,15 +231,14 @@ class Model:
         """width x len(ask) values of the ascending hashes ask; 0 where there is none."""
         self.__dict__.setdefault("files", {})
         out = np.zeros((width, len(ask)), kind)
-        cuts = np.searchsorted(_bucket(ask, self.bits), np.arange(2**self.bits + 1))
+        cuts = np.searchsorted(C.bucket_of(ask, self.bits), np.arange(2**self.bits + 1))
         for b in np.flatnonzero(np.diff(cuts)):
             if (table, b) not in self.files:
-                try:
+                keys, values = np.empty(0, np.uint64), np.empty(0, np.uint8)
+                if table in self.there and self.there[table][b >> 3] >> (b & 7) & 1:
                     keys = C.map_file(f"{self.folder}/{table}-{b}.h", "u8")
                     values = C.map_file(f"{self.folder}/{table}-{b}.c", "u1")
                     values = values.view(f"u{len(values) // (width * len(keys))}") if len(keys) else values
-                except FileNotFoundError:
-                    keys, values = np.empty(0, np.uint64), np.empty(0, np.uint8)
                 self.files[table, b] = keys, values.reshape(width, -1) if len(keys) else values
             keys, values = self.files[table, b]
             if len(keys):
@@ -287,26 +281,36 @@ def fit(docs: DataFrame, order: int = 2) -> Model:
     was = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")  # no job here reads another's shuffle
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
+    bits = C.bits_for(size, BUCKET_BYTES)
     folder = C.shared_dir(spark, "kneser-ney")
     rows = docs.select("text").mapInArrow(C.trimmed(_count_mapper(order, bits)), ROWS)
     stats: dict[str, list[int]] = {}
-    passed = ""
+    there: dict[str, bytes] = {}
+
+    def told(out: DataFrame, level: int) -> None:
+        """Sums up the buckets' numbers, and notes which buckets there are."""
+        sums = F.from_json(F.col("payload").cast("string"), "array<long>")
+        some = out.filter(F.col("kind").startswith("stats")).select("kind", "bucket", sums.alias("s"))
+        for r in some.groupBy("kind").agg(*(F.sum(F.get("s", k)) for k in range(7))).collect():  # a row for each kind
+            key = "word" if r["kind"] == "stats-word" else f"{r['kind'][6:]}{level}"
+            there[key] = C.present(some.filter(F.col("kind") == r["kind"]), 2**bits)
+            if r["kind"] != "stats-context":
+                stats[key] = list(r[1:])
+
+    passed = None
     for level in range(order, 0, -1):
-        before, passed = passed, C.shared_dir(spark, "kneser-ney-level")
-        rows.repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).write.parquet(passed)
-        if before:  # scorers read the arrays alone
-            C.discard(spark, before)
-        out = spark.read.schema(ROWS).parquet(passed)
-        for r in out.filter(F.col("kind").startswith("stats")).select("kind", F.col("payload").cast("string").alias("j")).collect():  # one a bucket
-            key = "word" if r["kind"] == "stats-word" else f"gram{level}"
-            stats[key] = [a + b for a, b in zip(stats.get(key, [0] * 7), json.loads(r["j"]), strict=True)]
+        before, passed = passed, C.stored(rows.repartitionById(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS), "kneser-ney-level")
+        if before is not None:  # scorers read the arrays alone
+            C.drop_stored(before)
+        told(passed, level)
         if level > 1:
-            out.filter("kind = 'context'").repartition(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS).count()
-            rows = out.filter("kind = 'next'").withColumn("kind", F.lit("gram"))
-    C.discard(spark, passed)
+            contexts = C.stored(passed.filter("kind = 'context'").repartitionById(2**bits, "bucket").mapInArrow(C.trimmed(_reducer(folder, level, bits)), ROWS), "kneser-ney-contexts")
+            told(contexts, level)
+            C.drop_stored(contexts)
+            rows = passed.filter("kind = 'next'").withColumn("kind", F.lit("gram"))
+    C.drop_stored(passed)
     spark.conf.set(_CLEANUP, was)
-    return Model(folder, order, bits, stats)
+    return Model(folder, order, bits, stats, there)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:

@@ -6,12 +6,13 @@ a job evaluates SECTIONS points of the interval. A source's quota is its weight
 whole epochs and a part of one more: documents lie in blocks by a hash, the blocks are permuted by another, and those
 are taken that the rest of the quota holds; of the next block, the documents in the order of their hash that still fit.
 
-What is decided is a row for each block, so documents are neither shuffled nor joined by id; a source's blocks, about
-BLOCK_DOCS documents each, are summed up in one window.
+What is decided is a row for each block, so documents are neither shuffled nor joined by id. A source's blocks, about
+BLOCK_DOCS documents each, are summed up in two steps: over 4,096 ranges of the permuted order, then inside a range.
 
 Defined results: a null source is the source ''; a null text has no tokens; a source without tokens, and each source of
 a table without tokens, is kept once; rows that repeat an id are taken or left together; an empty table gives no rows;
-further columns are kept as they are.
+targets that no exponent up to HIGHEST meets leave the sources' shares as they are (exponent 1); further columns are kept
+as they are, and where they have the name of a new one, the new ones begin with "mix__" (more underscores if need be).
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from .common import stored
 
 #: Documents in a block, points that a bisection's job evaluates, jobs, blocks up to which the plan is broadcast (under 100 bytes each).
 BLOCK_DOCS, SECTIONS, JOBS, BROADCAST_BLOCKS = 256, 16, 10, 100_000
-HIGHEST = 8.0
+#: The interval's first upper end, which is doubled while the target isn't met, and its last.
+UPPER, HIGHEST = 8.0, 4096.0
 
 
 def n_tokens(text: Column) -> Column:
@@ -41,18 +43,19 @@ def shares(sizes: DataFrame) -> DataFrame:
 
 def _evaluate(by: DataFrame, points: list[float]) -> list[dict]:
     """For each exponent: the entropy of the weights, the highest repetition with the budget of all tokens, and with the one that keeps each source once."""
-    power = lambda a: F.exp(F.col("log_share") * a)
-    aggs = [f for a in points for f in (F.sum(power(a)), F.sum(power(a) * F.col("log_share")), F.max(power(a - 1)), F.min(power(a - 1)))]
+    top = by.agg(F.max("log_share")).first()[0]
+    off = F.col("log_share") - top  # of the largest source 0, so that high powers don't vanish
+    aggs = [f for a in points for f in (F.sum(F.exp(off * a)), F.sum(F.exp(off * a) * off), F.max(F.exp(off * (a - 1))), F.min(F.exp(off * (a - 1))))]
     row = by.agg(*aggs).first()
     out = []
     for k, a in enumerate(points):
         z, s, most, least = row[4 * k : 4 * k + 4]
-        out.append({"entropy": math.log(z) - a * s / z, "repeats": most / z, "cover": most / least})
+        out.append({"entropy": math.log(z) - a * s / z, "repeats": most / z / math.exp(top), "cover": most / least if least else math.inf})
     return out
 
 
 def exponent(by: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float | None = None) -> float:
-    """The smallest exponent in 0 to HIGHEST, rounded up to six digits, with at most this entropy and this many repetitions.
+    """The smallest exponent, rounded up to six digits, with at most this entropy and this many repetitions; 1 where none up to HIGHEST has.
 
     entropy: as a part of its largest value. budget_share: the budget over all tokens; None: as many tokens as keep every source whole.
     """
@@ -65,9 +68,15 @@ def exponent(by: DataFrame, entropy: float | None = None, repeats: float | None
         r = x["cover"] if budget_share is None else x["repeats"] * budget_share
         return (entropy is None or x["entropy"] <= entropy * math.log(n) + margin) and (repeats is None or r <= repeats + margin)
 
-    low, high = 0.0, HIGHEST
+    low, high = 0.0, UPPER
     if enough(_evaluate(by, [low])[0]):
         return low
+    if budget_share is None and repeats is not None and entropy is None:
+        high = 1.0  # where no source is repeated
+    while not enough(_evaluate(by, [high])[0]):
+        low, high = high, 2 * high
+        if high > HIGHEST:
+            return 1.0
     for _ in range(JOBS):
         points = [low + (high - low) * k / SECTIONS for k in range(1, SECTIONS)]
         good = [enough(x) for x in _evaluate(by, points)]
@@ -80,50 +89,76 @@ def _key(seed: int, *parts: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def _placed(docs: DataFrame, by: DataFrame, seed: int) -> DataFrame:
-    """docs with mix_source, mix_key (a document's place in its block) and mix_block."""
-    source = F.coalesce("source", F.lit(""))
-    n = by.select(F.col("source").alias("mix_source"), F.ceil(F.col("docs") / BLOCK_DOCS).alias("mix_blocks"))
-    docs = docs.withColumn("mix_source", source).join(F.broadcast(n) if by.count() <= BROADCAST_BLOCKS else n, "mix_source")
-    docs = docs.withColumn("mix_key", _key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.withColumn("mix_block", F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % F.col("mix_blocks")).drop("mix_blocks")
+def _prefix(docs: DataFrame) -> str:
+    """What the columns that mix() adds begin with: "mix_", or with more underscores until none of docs does."""
+    p = "mix_"
+    while any(c.lower().startswith(p) for c in docs.columns):
+        p += "_"
+    return p
+
+
+def _placed(docs: DataFrame, by: DataFrame, seed: int, p: str) -> DataFrame:
+    """docs with source, key (a document's place in its block) and block, named with the prefix."""
+    n = by.select(F.col("source").alias(f"{p}source"), F.ceil(F.col("docs") / BLOCK_DOCS).alias(f"{p}blocks"))
+    docs = docs.withColumn(f"{p}source", F.coalesce("source", F.lit(""))).join(F.broadcast(n) if by.count() <= BROADCAST_BLOCKS else n, f"{p}source")
+    docs = docs.withColumn(f"{p}key", _key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return docs.withColumn(f"{p}block", F.conv(F.substring(f"{p}key", 1, 8), 16, 10).cast("long") % F.col(f"{p}blocks")).drop(f"{p}blocks")
+
+
+def _behind(blocks: DataFrame, seed: int) -> DataFrame:
+    """blocks (mix_source, mix_block, t) with behind, the tokens up to a block's end in its source's permuted order."""
+    key = _key(seed, F.col("mix_source"), F.col("mix_block").cast("string"))
+    blocks = blocks.withColumn("turn", key).withColumn("part", F.substring("turn", 1, 3))
+    parts = blocks.groupBy("mix_source", "part").agg(F.sum("t").alias("in_part"))
+    earlier = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows of a source at most
+    parts = parts.select("mix_source", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("mix_source", "part").orderBy("turn", "mix_block").rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.join(parts, ["mix_source", "part"]).withColumn("behind", F.col("before") + F.sum("t").over(inside)).select("mix_source", "mix_block", "t", "behind")
 
 
 def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float | None = 1.0, seed: int = 0) -> DataFrame:
-    """A row of docs (doc_id, text, source, ...) for each epoch in which it is drawn, with mix_tokens, mix_epoch and mix_order, by which sources' rows are sorted."""
-    docs = docs.withColumn("mix_tokens", n_tokens(F.col("text")))
-    sizes = stored(docs.select("doc_id", "source", F.col("mix_tokens")), "mix-sizes")
+    """A row of docs (doc_id, text, source, ...) for each epoch in which it is drawn, with mix_tokens, mix_epoch and mix_order.
+
+    Sorted by mix_order, rows come as permuted blocks of permuted documents, sources among each other. Small tables that later
+    steps only read are written to the shared folder; they are a row for each document (three numbers), block or source.
+    """
+    p = _prefix(docs)
+    docs = docs.withColumn(f"{p}tokens", n_tokens(F.col("text")))
+    sizes = stored(docs.select("doc_id", "source", F.col(f"{p}tokens").alias("mix_tokens")), "mix-sizes")
     by = stored(shares(sizes.select(F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"))).coalesce(1), "mix-shares")
     a = exponent(by, entropy, repeats, budget_share)
-    power = F.exp(F.col("log_share") * (a - 1))
     if budget_share is None:
+        power = F.exp(F.col("log_share") * (a - 1))
         scale = by.agg((1 / F.min(power)).alias("scale"))
     else:
-        scale = by.agg((budget_share / F.sum(F.exp(F.col("log_share") * a))).alias("scale"))
+        top = by.agg(F.max("log_share")).first()[0] or 0.0
+        power = F.exp((F.col("log_share") - top) * (a - 1))
+        scale = by.agg((budget_share / F.sum(F.exp((F.col("log_share") - top) * a)) / math.exp(top)).alias("scale"))
     quota = by.crossJoin(F.broadcast(scale))  # one row
     quota = quota.withColumn("quota", F.round(F.col("tokens") * F.round(power * F.col("scale"), 9)).cast("long"))
     full = F.coalesce(F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))), F.lit(0)).cast("int")
-    quota = quota.select(F.col("source").alias("mix_source"), full.alias("full"), (F.coalesce("quota", F.lit(0)) - full * F.col("tokens")).alias("rest"))
+    full = F.when(F.col("tokens") > 0, full).otherwise(F.lit(1))
+    quota = quota.select(F.col("source").alias("mix_source"), full.alias("full"), F.when(F.col("tokens") > 0, F.coalesce("quota", F.lit(0)) - full * F.col("tokens")).otherwise(F.lit(-1)).alias("rest"))
 
-    placed = _placed(sizes, by, seed)
-    blocks = placed.groupBy("mix_source", "mix_block").agg(F.sum("mix_tokens").alias("t"))
-    permuted = Window.partitionBy("mix_source").orderBy(_key(seed + 1, F.col("mix_source"), F.col("mix_block").cast("string")), "mix_block")
-    blocks = blocks.withColumn("behind", F.sum("t").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = _placed(sizes.withColumnRenamed("mix_tokens", "t"), by, seed, "mix_")
+    blocks = _behind(placed.groupBy("mix_source", "mix_block").agg(F.sum("t").alias("t")), seed + 1)
     blocks = blocks.join(quota, "mix_source").withColumn("left", F.col("rest") - F.col("behind") + F.col("t"))
     blocks = stored(blocks.select("mix_source", "mix_block", "full", (F.col("t") <= F.col("left")).alias("whole"), "left", "t"), "mix-blocks")
 
     cut = blocks.filter("not whole and left >= 0 and t > left").select("mix_source", "mix_block", "left")
     inside = Window.partitionBy("mix_source", "mix_block").orderBy("mix_key").rangeBetween(Window.unboundedPreceding, 0)
-    part = placed.join(F.broadcast(cut) if by.count() <= BROADCAST_BLOCKS else cut, ["mix_source", "mix_block"]).withColumn("c", F.sum("mix_tokens").over(inside))  # a block of each source
+    part = placed.join(F.broadcast(cut) if by.count() <= BROADCAST_BLOCKS else cut, ["mix_source", "mix_block"]).withColumn("c", F.sum("t").over(inside))  # a block of each source
     part = part.filter("c <= left").groupBy("mix_source", "mix_block").agg(F.max("mix_key").alias("upto"))
-    plan = stored(blocks.join(part, ["mix_source", "mix_block"], "left").select("mix_source", "mix_block", "full", "whole", "upto"), "mix-plan")
+    plan = blocks.join(part, ["mix_source", "mix_block"], "left")
+    plan = stored(plan.select(*(F.col(c).alias(p + c.removeprefix("mix_")) for c in ("mix_source", "mix_block", "full", "whole", "upto"))), "mix-plan")
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_BLOCKS else plan
+    col = lambda c: F.col(p + c)
 
-    drawn = _placed(docs, by, seed).join(plan, ["mix_source", "mix_block"])
-    copies = F.col("full") + (F.col("whole") | F.coalesce(F.col("mix_key") <= F.col("upto"), F.lit(False))).cast("int")
-    drawn = drawn.withColumn("mix_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
-    order = F.concat(F.substring(_key(seed + 1, F.col("mix_source"), F.col("mix_block").cast("string"), F.col("mix_epoch").cast("string")), 1, 16), F.substring(_key(seed + 2, F.col("mix_key"), F.col("mix_epoch").cast("string")), 1, 16))
-    return drawn.withColumn("mix_order", order).select(*docs.columns, "mix_epoch", "mix_order")
+    drawn = _placed(docs, by, seed, p).join(plan, [f"{p}source", f"{p}block"])
+    copies = col("full") + (col("whole") | F.coalesce(col("key") <= col("upto"), F.lit(False))).cast("int")
+    drawn = drawn.withColumn(f"{p}epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
+    order = F.concat(F.substring(_key(seed + 1, col("source"), col("block").cast("string"), col("epoch").cast("string")), 1, 16), F.substring(_key(seed + 2, col("key"), col("epoch").cast("string")), 1, 16))
+    return drawn.withColumn(f"{p}order", order).select(*docs.columns, f"{p}epoch", f"{p}order")
 
 
 #: DuckDB's form of mix() on documents, less mix_order's hashes, for entropy, repeats and a budget of all tokens.
@@ -164,4 +199,4 @@ SELECT doc_id, source, n_tokens, CAST(unnest(range(1, copies + 1)) AS INTEGER) A
 
 
 def sql(entropy: float, repeats: float, seed: int = 0) -> str:
-    return SQL.format(entropy=entropy, repeats=repeats, seed=f"'{seed}'", next_seed=f"'{seed + 1}'", highest=HIGHEST, block=f"{BLOCK_DOCS}.0")
+    return SQL.format(entropy=entropy, repeats=repeats, seed=f"'{seed}'", next_seed=f"'{seed + 1}'", highest=UPPER, block=f"{BLOCK_DOCS}.0")

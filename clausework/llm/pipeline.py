@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result and reads it again. All but the
 last return the columns of documents. A row that a stage changes keeps its doc_id; one that mixing repeats comes as often as it is drawn.
+
+Defined results: nulls, empty and long texts and repeated rows are as the operators define them (a null text is empty, and of
+rows that repeat id and text near-dedup keeps one); an empty table gives an empty result; further columns pass through the
+stages and clash with none of theirs.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe_reuse, mixing, near_copies, suffix_dedup, toxicity
-from .common import stored, table
+from .common import drop_stored, fresh, stored, table
 from .queries import THRESHOLD, toxicity_model, vocabulary
 
 #: How often mixing repeats the smallest source; the largest is kept whole, once.
@@ -20,7 +24,8 @@ REPEATS = 1.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below the threshold. The model is fitted on the labelled rows of the documents table."""
     model = toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).filter(F.col("toxicity_score") < THRESHOLD).select(*docs.columns)
+    name = fresh(docs, "toxicity_score")
+    return toxicity.scored(docs, model, name).filter(F.col(name) < THRESHOLD).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, "pipeline")
+            if before is not None:
+                drop_stored(before)
+            before = docs
     return docs

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .lm import _bucket, _pack, _unpack
+from .lm import _pack, _unpack
 
 WIDTH, GRAM = 100, 32
 STARTS = WIDTH - GRAM + 1
 #: Bytes that numpy looks at together, bytes of text to a bucket, kinds of stretches of one anchor, ranges of a hot one.
 SLICE, BUCKET_BYTES, HOT, PARTS = 1 << 19, 12 << 20, 4_096, 8
+#: Anchors that a mapper puts together before it sends them.
+HELD = 1 << 20
 #: Bytes that are put together at a time.
 TAKEN = 1 << 18
 ROWS = "kind string, bucket int, payload binary"
@@ -121,7 +123,7 @@ def _rows(kind: str, bucket: np.ndarray, columns: list[np.ndarray], n: int) -> I
 
 def _spans(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, end: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
     key = _key(doc, tie)
-    yield from _rows("span", _bucket(key, bits), [key, start.astype("u4"), end.astype("u4")], 2**bits)
+    yield from _rows("span", C.bucket_of(key, bits), [key, start.astype("u4"), end.astype("u4")], 2**bits)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -130,20 +132,32 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def _find(bits: int) -> Callable:
+    """A mapper's anchors, of equal stretches the earliest only, and spans of its later ones; HELD records at a time, so that a common passage is a record for each of those."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, tie, data, offsets = _columns(batch)
-            parts = list(anchors(data, offsets))
-            if not parts:
-                continue
-            i, anchor, stretch, first, count, distance = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = [anchor, stretch, doc[i], tie[i], (first - offsets[i]).astype("u4"), count.astype("u1"), distance.astype("u1")]
+        held: list[list[np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
             order, new, later = _later(*columns[:5])
             gone = order[later]
-            d, t, s, c = (columns[k][gone] for k in (2, 3, 4, 5))
-            yield from _spans(d, t, s, s + c.astype("u4") + np.uint32(WIDTH - 1), bits)
+            doc, tie, start, count = (columns[k][gone] for k in (2, 3, 4, 5))
+            yield from _spans(doc, tie, start, start + count.astype("u4") + np.uint32(WIDTH - 1), bits)
             kept = np.sort(order[new])
-            yield from _rows("anchor", _bucket(anchor[kept], bits), [c[kept] for c in columns], 2**bits)
+            yield from _rows("anchor", C.bucket_of(columns[0][kept], bits), [c[kept] for c in columns], 2**bits)
+
+        size = 0
+        for batch in batches:
+            doc, tie, data, offsets = _columns(batch)
+            for i, anchor, stretch, first, count, distance in anchors(data, offsets):
+                held.append([anchor, stretch, doc[i], tie[i], (first - offsets[i]).astype("u4"), count.astype("u1"), distance.astype("u1")])
+                size += len(i)
+            if size >= HELD:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
 
     return run
 
@@ -178,52 +192,25 @@ def _judge(bits: int) -> Callable:
             several = size[group] > 1
             head, kinds = head[several], size[group][several]
             key = _key(doc[head], tie[head])
-            yield from _rows("ask", _bucket(key, bits), [key, first[head], count[head], distance[head], (kinds > HOT).astype("u1"), anchor[head]], 2**bits)
+            yield from _rows("ask", C.bucket_of(key, bits), [key, first[head], count[head], distance[head], (kinds > HOT).astype("u1"), anchor[head]], 2**bits)
 
     return run
 
 
 def _keep(folder: str, kinds: list[str]) -> Callable:
-    """Writes a bucket's records as arrays sorted by document key."""
+    """Writes a bucket's records as arrays sorted by document key; yields the bucket's number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, bucket, rows in _gathered(batches):
-            columns = [np.concatenate(x) for x in zip(*(_unpack(r, kinds) for r in rows), strict=True)]
-            order = np.lexsort((columns[1], columns[0]))
-            for k, c in enumerate(columns):
-                C.put_file(f"{folder}/{kind}-{bucket}.{k}", c[order].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([bucket], pa.int32()), pa.array([b""], pa.binary())], ["kind", "bucket", "payload"])
+            C.put_bucket(folder, kind, bucket, [np.concatenate(x) for x in zip(*(_unpack(r, kinds) for r in rows), strict=True)])
+            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32())], ["bucket"])
 
     return run
 
 
-class _Kept:
-    """Opens such arrays; in a task, each bucket once."""
-
-    def __init__(self, folder: str, kind: str, kinds: list[str], bits: int):
-        self.folder, self.kind, self.kinds, self.bits, self.files = folder, kind, kinds, bits, {}
-
-    def of(self, keys: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For the keys of some documents: which of them each record is of, and the records' other columns."""
-        who, out = [], []
-        buckets = _bucket(keys, self.bits)
-        for b in np.unique(buckets).tolist():
-            if b not in self.files:
-                try:
-                    self.files[b] = [C.map_file(f"{self.folder}/{self.kind}-{b}.{k}", t) for k, t in enumerate(self.kinds)]
-                except FileNotFoundError:
-                    self.files[b] = None
-            if (columns := self.files[b]) is None:
-                continue
-            mine = np.flatnonzero(buckets == b)
-            lo, hi = (np.searchsorted(columns[0], keys[mine], side) for side in ("left", "right"))
-            size = hi - lo
-            at = np.repeat(hi - np.cumsum(size), size) + np.arange(size.sum())
-            who.append(np.repeat(mine, size))
-            out.append([c[at] for c in columns[1:]])
-        if not out:
-            return np.empty(0, np.int64), [np.empty(0, t) for t in self.kinds[1:]]
-        return np.concatenate(who), [np.concatenate(x) for x in zip(*out, strict=True)]
+def _shelf(rows: DataFrame, folder: str, kind: str, kinds: list[str], bits: int) -> C.Shelf:
+    written = rows.repartitionById(2**bits, "bucket").mapInArrow(C.trimmed(_keep(folder, kinds)), "bucket int")
+    return C.Shelf(folder, kind, kinds, bits, C.present(written, 2**bits))
 
 
 def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool = False) -> np.ndarray:
@@ -245,11 +232,10 @@ def _take(data: np.ndarray, start: np.ndarray, size: np.ndarray, backwards: bool
 _STRETCH = ["i8", "u4", "u4", "u1", "u1", "u1", "u1"]  # document, tie, first start, starts, distance, lowest and highest distance to judge
 
 
-def _read(folder: str, bits: int) -> Callable:
+def _read(kept: C.Shelf, bits: int) -> Callable:
     """The stretches asked for, dealt out by anchor; those of a hot anchor by ranges of the distance and the bytes shared there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(folder, "ask", _ASK, bits)
         for batch in batches:
             doc, tie, data, offsets = _columns(batch)
             who, (first, count, distance, hot, anchor) = kept.of(_key(doc, tie))
@@ -276,9 +262,9 @@ def _read(folder: str, bits: int) -> Callable:
             for h, some, (lo, hi) in zip(key, pick, limits, strict=True):
                 if not len(some):
                     continue
-                bucket = _bucket(h[some], bits)
+                bucket = C.bucket_of(h[some], bits)
                 order = some[np.argsort(bucket, kind="stable")]
-                bucket = _bucket(h[order], bits)
+                bucket = C.bucket_of(h[order], bits)
                 cuts = np.searchsorted(bucket, np.arange(2**bits + 1))
                 for b in np.flatnonzero(np.diff(cuts)):
                     at = order[cuts[b] : cuts[b + 1]]
@@ -449,20 +435,22 @@ def _sort(bits: int) -> Callable:
     return run
 
 
-def removed(docs: DataFrame) -> tuple[DataFrame, str, int]:
-    """docs as (doc, tie, text, doc_id), the folder of the sorted spans to remove, and the bits of its buckets."""
+def removed(docs: DataFrame) -> C.Shelf:
+    """The shelf of the spans to remove, by document key."""
     spark = docs.sparkSession
     C.bound_batches(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), "text")
+    rows = _with_id(docs.select("doc_id", "text")).drop("doc_id")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(2, int(np.ceil(np.log2(max(1, size / BUCKET_BYTES)))))
-    folder, n = C.shared_dir(spark, "suffix-dedup"), 2**bits
-    found = rows.mapInArrow(C.trimmed(_find(bits)), ROWS).repartition(n, "kind", "bucket").mapInArrow(C.trimmed(_split(_judge(bits))), ROWS)
+    bits = C.bits_for(size, BUCKET_BYTES)
+    n, asked, spans = 2**bits, C.shared_dir(spark, "suffix-dedup-asked"), C.shared_dir(spark, "suffix-dedup")
+    found = rows.mapInArrow(C.trimmed(_find(bits)), ROWS).repartitionById(n, "bucket").mapInArrow(C.trimmed(_split(_judge(bits))), ROWS)
     found = C.stored(found, "suffix-dedup-found")
-    found.filter("kind = 'ask'").repartition(n, "bucket").mapInArrow(C.trimmed(_keep(folder, _ASK)), ROWS).count()
-    more = rows.mapInArrow(C.trimmed(_read(folder, bits)), ROWS).repartition(n, "bucket").mapInArrow(C.trimmed(_sort(bits)), ROWS)
-    found.filter("kind = 'span'").unionByName(more).repartition(n, "bucket").mapInArrow(C.trimmed(_keep(folder, _SPAN)), ROWS).count()
-    return rows, folder, bits
+    kept = _shelf(found.filter("kind = 'ask'"), asked, "ask", _ASK, bits)
+    more = rows.mapInArrow(C.trimmed(_read(kept, bits)), ROWS).repartitionById(n, "bucket").mapInArrow(C.trimmed(_sort(bits)), ROWS)
+    out = _shelf(found.filter("kind = 'span'").unionByName(more), spans, "span", _SPAN, bits)
+    C.drop_stored(found)
+    C.discard(spark, asked)
+    return out
 
 
 def _split(judge: Callable) -> Callable:
@@ -494,52 +482,48 @@ def _cut(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, i
     return text[~gone].tobytes(), int(gone.sum()), runs
 
 
-def _apply(folder: str, bits: int) -> Callable:
-    def run(batch: pa.RecordBatch, kept: _Kept) -> Iterator[tuple[int, bytes, int, int, int]]:
-        doc, tie, data, offsets = _columns(batch)
-        who, (start, end) = kept.of(_key(doc, tie))
-        order = np.argsort(who, kind="stable")
-        who, start, end = who[order], start[order].astype(np.int64), end[order].astype(np.int64)
-        cuts = np.searchsorted(who, np.arange(len(doc) + 1))
-        for i in range(len(doc)):
-            text = data[offsets[i] : offsets[i + 1]]
-            a, b = cuts[i], cuts[i + 1]
-            yield i, *((text.tobytes(), 0, 0) if a == b else _cut(text, start[a:b], end[a:b])), len(text)
-
-    return run
+def _apply(batch: pa.RecordBatch, kept: C.Shelf) -> Iterator[tuple[bytes, int, int, int]]:
+    """Of each row the bytes that stay, how many go, in how many runs, and how many there were."""
+    doc, tie, data, offsets = _columns(batch)
+    who, (start, end) = kept.of(_key(doc, tie))
+    order = np.argsort(who, kind="stable")
+    who, start, end = who[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    cuts = np.searchsorted(who, np.arange(len(doc) + 1))
+    for i in range(len(doc)):
+        text = data[offsets[i] : offsets[i + 1]]
+        a, b = cuts[i], cuts[i + 1]
+        yield *((text.tobytes(), 0, 0) if a == b else _cut(text, start[a:b], end[a:b])), len(text)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-    rows, folder, bits = removed(docs)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    apply = _apply(folder, bits)
+    kept, kind = removed(docs), docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(folder, "span", _SPAN, bits)
         for batch in batches:
-            out = [(size, gone, runs, hashlib.sha256(rest).hexdigest()) for _, rest, gone, runs, size in apply(batch, kept)]
+            out = [(size, gone, runs, hashlib.sha256(rest).hexdigest()) for rest, gone, runs, size in _apply(batch, kept)]
             size, gone, runs, digests = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(3), *(pa.array(x, pa.int64()) for x in (size, gone, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _with_id(docs).mapInArrow(C.trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_id(docs.select("doc_id", "text")).mapInArrow(C.trimmed(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _with_id(docs: DataFrame) -> DataFrame:
-    """The columns that _columns() reads, then doc_id and the others."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("dedup_doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("dedup_tie"), F.col("text").alias("dedup_text"), *(c for c in docs.columns if c != "text"))
+    """The columns that _columns() reads, then doc_id and the others. A null id has a tie of its own, which sets it apart from the largest id."""
+    names = [C.fresh(docs, c) for c in ("dedup_doc", "dedup_tie", "dedup_text")]
+    none = F.col("doc_id").isNull()
+    tie = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)) + F.when(none, F.lit(1 << 31)).otherwise(F.lit(0))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias(names[0]), tie.alias(names[1]), F.col("text").alias(names[2]), *(c for c in docs.columns if c != "text"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with the repeated bytes removed from text; a character of which only some bytes stay becomes U+FFFD."""
-    _, folder, bits = removed(docs)
-    apply, wide = _apply(folder, bits), _with_id(docs)
+    kept, wide = removed(docs), _with_id(docs)
     names = ["text", *(c for c in docs.columns if c != "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = _Kept(folder, "span", _SPAN, bits)
         for batch in batches:
-            text = pa.array([rest.decode("utf-8", "replace") for _, rest, *_ in apply(batch, kept)], pa.string())
+            text = pa.array([rest.decode("utf-8", "replace") for rest, *_ in _apply(batch, kept)], pa.string())
             yield pa.RecordBatch.from_arrays([text, *(batch.column(k) for k in range(3, batch.num_columns))], names)
 
     return wide.mapInArrow(C.trimmed(run), docs.select(*names).schema).select(*docs.columns)

@@ -4,8 +4,8 @@ The kernel counts common subsequences of ORDER characters, each occurrence weigh
 takes, up to SPAN characters: characters that are put in between, or letters set apart, cost a little weight and break
 nothing. Landmarks are short strings that set the sentences of toxic documents apart. The machine is trained on the
 coordinates that the landmarks' kernel matrix gives a sentence. A sentence here is a stretch of REACH characters; which
-stretch of a toxic document is the toxic one is chosen again in each round by the machine itself, starting from the
-landmarks, and the worst stretches of other documents are the negatives. As the decision is linear in the kernel to
+stretch of a toxic document is the toxic one is where the landmarks themselves stand at first, and is chosen again in each
+round by the machine; the worst stretches of other documents in all rounds so far are the negatives. As the decision is linear in the kernel to
 the landmarks, and the kernel is a sum over subsequences, the machine is one weight for each subsequence: a text is
 scored exactly, at every place, by looking up the subsequences that begin there. A document's score is a logistic
 function of its highest stretches, fitted on documents that the machine has not seen.
@@ -33,8 +33,8 @@ from . import common as C
 ORDER, SPAN, DECAY = 3, 6, 0.8
 #: Lengths of stretches; characters between documents when many are scored together.
 REACH, SHORT, APART = 11, 5, 16
-LANDMARKS, ROUNDS, POSITIVE, NEGATIVE = 300, 3, 1_500, 3_000
-#: Characters of the longest document that is fitted on.
+LANDMARKS, ROUNDS, POSITIVE, NEGATIVE = 300, 6, 1_500, 3_000
+#: Characters of a document that is fitted on; longer ones only where shorter ones are too few (labelled.sample).
 LONGEST = 3_000
 #: Characters on either side by which a copy is told.
 AROUND = 8
@@ -47,13 +47,11 @@ _GAPS = [(a, b) for a, b in combinations(range(1, SPAN), ORDER - 1)]
 def alphabet() -> np.ndarray:
     """A code below 64 for each code point: 0 for what parts words, 1-26 for letters of either case, others by a rule, 63 between documents."""
     out = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        if c < 0x250 or 0x370 <= c < 0x590:
-            ch = chr(c).lower()
-            if len(ch) == 1 and ch.isalpha():
-                out[c] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) * 7 % 36
-        elif 0x590 <= c < 0xD800:
-            out[c] = 27 + c * 7 % 36
+    for c in (*range(0x250), *range(0x370, 0x590)):
+        ch = chr(c).lower()
+        if len(ch) == 1 and ch.isalpha():
+            out[c] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + ord(ch) * 7 % 36
+    out[0x590:0xD800] = 27 + np.arange(0x590, 0xD800) * 7 % 36
     out[[*range(0x2000, 0x2070), *range(0x3000, 0x3010)]] = 0
     out[ord(_BETWEEN)] = _MARK
     return out
@@ -150,6 +148,24 @@ def _landmarks(code: np.ndarray, start: np.ndarray, toxic: np.ndarray) -> tuple[
     return strings, np.array([g for g, _, _ in found])
 
 
+def _occurrences(code: np.ndarray, strings: list[np.ndarray], gain: np.ndarray) -> np.ndarray:
+    """For each place, the gains of the strings that stand in the REACH places from it on, each as a part of its length times the longest."""
+    value = np.zeros(len(code) + 1)
+    for n in sorted({len(s) for s in strings}):
+        mine = [k for k, s in enumerate(strings) if len(s) == n]
+        number = lambda x: int("".join(f"{int(c):06b}" for c in x), 2)
+        order = sorted((number(strings[k]), float(gain[k])) for k in mine)
+        keys, gains = np.array([x for x, _ in order]), np.array([g for _, g in order])
+        gram = np.zeros(max(0, len(code) - n + 1), np.int64)
+        for k in range(n):
+            gram = gram << 6 | code[k : k + len(gram)]
+        at = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == gram)
+        value[1 + hit] = np.maximum(value[1 + hit], gains[at[hit]])
+    total = np.concatenate((np.cumsum(value), np.full(REACH, value.sum())))
+    return total[REACH : REACH + len(code)] - total[: len(code)]
+
+
 def _machine(x: np.ndarray, y: np.ndarray, steps: int = 300, cost: float = 2.0) -> np.ndarray:
     """Weights and, last, the bias of a linear support vector machine with squared hinge loss; both classes weigh alike."""
     x = np.hstack((x, np.ones((len(x), 1))))
@@ -238,7 +254,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         root = vectors[:, use] / np.sqrt(values[use])
         onto = marks.T @ root
         weights[dims] = (gain / gain.sum()) @ marks
-        for _ in range(ROUNDS):
+        seen, hard = _occurrences(code, strings, gain), np.empty(0, np.int64)
+        for k in range(ROUNDS):
             f = stretches(code, weights)[1]
             f = np.concatenate((f, np.full(len(code) - len(f), -np.inf, np.float32)))
             at = []
@@ -249,7 +266,10 @@ def fit(rows: list[tuple[str, int]]) -> Model:
                 second[max(0, top - REACH) : top + REACH] = -np.inf
                 at.append((a + top, a + int(second.argmax()), a + (len(part) * 7 // 11)))
             at = np.array(at)
-            neg = at[~toxic].ravel()
+            if not k:  # the machine is empty yet: where the landmarks themselves stand
+                ends = np.append(start[1:], len(code))
+                at[:, 0] = [a + int(seen[a:b].argmax()) for a, b in zip(start, ends, strict=True)]
+            neg = hard = np.unique(np.concatenate((hard, at[~toxic].ravel())))
             spots = np.concatenate((at[toxic, 0], neg))
             x = np.concatenate([_profile(code, spots[i : i + 256], dims) @ onto for i in range(0, len(spots), 256)])
             sign = np.concatenate((np.ones(toxic.sum()), -np.ones(len(neg))))
@@ -276,16 +296,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(C.trimmed(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with a column toxicity_score."""
+def scored(docs: DataFrame, model: Model, name: str = "toxicity_score") -> DataFrame:
+    """docs with a further column of that name; it must be new."""
+    if name != C.fresh(docs, name):
+        raise ValueError(f"there is a column {name} already")
     C.bound_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c != "toxicity_score"]
+    sent, names = docs.sparkSession.sparkContext.broadcast(model), [*docs.columns, name]
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(texts))], [*names, "toxicity_score"])
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.score(texts))], names)
 
-    rows = docs.select(*names)
-    return rows.mapInArrow(C.trimmed(run), T.StructType([*rows.schema, T.StructField("toxicity_score", T.DoubleType())]))
+    return docs.mapInArrow(C.trimmed(run), T.StructType([*docs.schema, T.StructField(name, T.DoubleType())]))

@@ -521,3 +521,36 @@ def test_pipeline(spark, docs, rows, tmp_path):
     texts = {k: " ".join(words(t)) for k, t, *_ in rows}
     assert len({texts[k] for k in kept}) == len(kept) and {texts[k] for k in texts} >= {texts[k] for k in kept}
     assert {r["doc_id"] for r in pipeline.run(spark, str(tmp_path)).collect()} == kept
+
+
+# what is lost must be noticed
+
+
+def test_lost_arrays_are_an_error(spark, docs, tmp_path):
+    import glob
+    import os
+
+    model = lm.fit(docs, order=2)
+    files = glob.glob(model.folder.removeprefix("file://") + "/gram2-*.h")
+    assert files
+    os.remove(files[0])
+    with pytest.raises(Exception, match="No such file"):
+        lm.score(docs, model).collect()
+    shelf = suffix_dedup.removed(docs)
+    assert sum(b.bit_count() for b in shelf.there) == len(glob.glob(shelf.folder.removeprefix("file://") + "/span-*.0")) > 0
+    for f in glob.glob(shelf.folder.removeprefix("file://") + "/span-*.1"):
+        os.remove(f)
+    with pytest.raises(FileNotFoundError):
+        shelf.of(np.arange(0, 2**64 - 1, 2**54, dtype=np.uint64))
+
+
+def test_shelves_hold_all_rows(spark):
+    from clausework.llm import common as C
+
+    df = spark.range(5000).select(F.xxhash64("id").alias("k"), "id", (F.col("id") % 3).cast("int").alias("v"))
+    shelf = C.shelve(df, 5000 << 12, ["u8", "i8", "u1"], "shelf-test")
+    assert shelf.bits == 6
+    rows = df.collect()
+    keys = np.array([r["k"] for r in rows] + [17], np.int64).view(np.uint64)
+    who, (ids, v) = shelf.of(keys)
+    assert len(who) == 5000 and all(rows[w]["id"] == i and i % 3 == x for w, i, x in zip(who, ids, v, strict=True))
