@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, each: dict[int, int], longest: int) -> list[tuple[str, int]]:
     """Texts and labels of up to each[v] documents with label v, picked by a hash of their id among the rows that fit_on allows.
@@ -17,6 +19,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, each:
     rows = labels.filter(F.col(label).isin(*each) & F.coalesce(fit_on, F.lit(False))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     texts = docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"), F.xxhash64("text").alias("hash"))
     one = texts.join(rows, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("size", "hash")).alias("m")).select("doc_id", "y", "m.size", "m.hash")
+    one = C.stored(one, "labelled")  # a row for each labelled document
     picked = []
     for v, n in each.items():
         held = 0
@@ -24,6 +27,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, each:
             if held + r["size"] <= n * longest or not held:
                 held += r["size"]
                 picked.append((r["doc_id"], r["y"], r["hash"]))
+    C.drop_stored(one)
     if not picked:
         return []
     ids = docs.sparkSession.createDataFrame(picked, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, hash long")

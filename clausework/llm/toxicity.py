@@ -33,13 +33,13 @@ from . import common as C
 ORDER, SPAN, DECAY = 3, 6, 0.8
 #: Lengths of stretches; characters between documents when many are scored together.
 REACH, SHORT, APART = 11, 5, 16
-LANDMARKS, ROUNDS, POSITIVE, NEGATIVE = 300, 6, 1_500, 3_000
+LANDMARKS, ROUNDS, POSITIVE, NEGATIVE = 300, 4, 1_500, 3_000
 #: Characters of a document that is fitted on; longer ones only where shorter ones are too few (labelled.sample).
 LONGEST = 3_000
 #: Characters on either side by which a copy is told.
 AROUND = 8
-#: Characters that are scored together.
-BLOCK = 1 << 20
+#: Characters that are scored together, and documents that a round looks at together.
+BLOCK, TOGETHER = 1 << 20, 256
 _MARK, _BETWEEN = 63, ""
 _GAPS = [(a, b) for a, b in combinations(range(1, SPAN), ORDER - 1)]
 
@@ -116,21 +116,30 @@ def _profile(code: np.ndarray, at: np.ndarray, dims: np.ndarray, size: int = REA
 
 def _landmarks(code: np.ndarray, start: np.ndarray, toxic: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Strings inside words, with their ends, that occur in toxic documents more than in others, and by how much."""
-    doc = np.searchsorted(start, np.arange(len(code)), "right") - 1
+    bad = np.repeat(toxic, np.diff(np.append(start, len(code))))
     good = (code > 0) & (code < _MARK)
-    around = np.zeros(len(code), np.int64)  # of what stands before and behind, so that copies count once
-    padded = np.concatenate((np.zeros(AROUND, np.uint8), code, np.zeros(AROUND + 8, np.uint8))).astype(np.int64)
+    around = np.zeros(len(code), np.uint32)  # of what stands before and behind, so that copies count once
+    padded = np.concatenate((np.zeros(AROUND, np.uint8), code, np.zeros(AROUND + 8, np.uint8))).astype(np.uint32)
     for k in range(AROUND):
-        around = (around * 1_000_003 + padded[k : k + len(code)] * 64 + padded[AROUND + 8 + k : AROUND + 8 + k + len(code)]) & (1 << 40) - 1
-    around = around >> 12 & 0xFFFF
+        around *= np.uint32(1_000_003)
+        around += padded[k : k + len(code)] * np.uint32(64)
+        around += padded[AROUND + 8 + k : AROUND + 8 + k + len(code)]
+    around = (around >> np.uint32(12)).astype(np.uint16)
+    del padded
     found: list[tuple[float, int, int]] = []
     for n in (4, 5, 6, 7):
         m = len(code) - n + 1
         gram, whole = np.zeros(m, np.int64), np.ones(m, bool)
         for k in range(n):
-            gram = gram << 6 | code[k : k + m]
+            gram <<= 6
+            gram |= code[k : k + m]
             whole &= good[k : k + m] | ((k in (0, n - 1)) & (code[k : k + m] == 0))  # words' ends count as characters
-        places = np.unique(gram[whole] << 17 | around[:m][whole] << 1 | toxic[doc[:m][whole]])
+        places = gram[whole] << 17
+        del gram
+        places |= around[:m][whole].astype(np.int64) << 1
+        places |= bad[:m][whole]
+        places.sort()
+        places = places[np.concatenate(([True], places[1:] != places[:-1]))]
         places = places[np.concatenate(([True], places[1:] >> 1 != places[:-1] >> 1))]  # not toxic where some document with it isn't
         kinds, first = np.unique(places >> 17, return_index=True)
         pos = np.add.reduceat(places & 1, first) if len(first) else first
@@ -167,19 +176,19 @@ def _occurrences(code: np.ndarray, strings: list[np.ndarray], gain: np.ndarray)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, steps: int = 300, cost: float = 2.0) -> np.ndarray:
-    """Weights and, last, the bias of a linear support vector machine with squared hinge loss; both classes weigh alike."""
-    x = np.hstack((x, np.ones((len(x), 1))))
+    """Weights of a linear support vector machine with squared hinge loss, whose rows end with a one; both classes weigh alike."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * cost * 100
-    w = np.zeros(x.shape[1])
+    weight, y = weight.astype(x.dtype), y.astype(x.dtype)
+    w = np.zeros(x.shape[1], x.dtype)
     v, t = w.copy(), 1.0
-    u = np.ones(x.shape[1])
+    u = np.ones(x.shape[1], x.dtype)
     for _ in range(30):
         u = x.T @ (weight * (x @ (u / np.linalg.norm(u))))
     rate = 1.0 / (1.0 + 2.2 * np.linalg.norm(u))
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
         step = v - rate * (v - 2 * x.T @ (weight * slack * y))
-        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
         v, w, t = step + (t - 1) / t2 * (step - w), step, t2
     return w
 
@@ -254,24 +263,28 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         root = vectors[:, use] / np.sqrt(values[use])
         onto = marks.T @ root
         weights[dims] = (gain / gain.sum()) @ marks
-        seen, hard = _occurrences(code, strings, gain), np.empty(0, np.int64)
+        hard, ends = np.empty(0, np.int64), np.append(start[1:], len(code))
         for k in range(ROUNDS):
-            f = stretches(code, weights)[1]
-            f = np.concatenate((f, np.full(len(code) - len(f), -np.inf, np.float32)))
-            at = []
-            for a, b in zip(start, np.append(start[1:], len(code)), strict=True):
-                part = f[a:b]
-                top = int(part.argmax())
-                second = part.copy()
-                second[max(0, top - REACH) : top + REACH] = -np.inf
-                at.append((a + top, a + int(second.argmax()), a + (len(part) * 7 // 11)))
-            at = np.array(at)
-            if not k:  # the machine is empty yet: where the landmarks themselves stand
-                ends = np.append(start[1:], len(code))
-                at[:, 0] = [a + int(seen[a:b].argmax()) for a, b in zip(start, ends, strict=True)]
+            at = np.empty((len(start), 3), np.int64)
+            for lo in range(0, len(start), TOGETHER):
+                hi = min(lo + TOGETHER, len(start))
+                some = code[start[lo] : ends[hi - 1]]
+                f = stretches(some, weights)[1]
+                f = np.concatenate((f, np.full(len(some) - len(f), -np.inf, np.float32)))
+                # the machine is empty at first: where the landmarks themselves stand
+                first = f if k else _occurrences(some, strings, gain)
+                for d, a, b in zip(range(lo, hi), start[lo:hi] - start[lo], ends[lo:hi] - start[lo], strict=True):
+                    part = f[a:b].copy()
+                    top = int(part.argmax())
+                    part[max(0, top - REACH) : top + REACH] = -np.inf
+                    at[d] = (int(first[a:b].argmax()) if toxic[d] else top, int(part.argmax()), len(part) * 7 // 11)
+            at += start[:, None]
             neg = hard = np.unique(np.concatenate((hard, at[~toxic].ravel())))
             spots = np.concatenate((at[toxic, 0], neg))
-            x = np.concatenate([_profile(code, spots[i : i + 256], dims) @ onto for i in range(0, len(spots), 256)])
+            x = np.empty((len(spots), onto.shape[1] + 1), np.float32)
+            x[:, -1] = 1
+            for i in range(0, len(spots), 256):
+                x[i : i + 256, :-1] = _profile(code, spots[i : i + 256], dims) @ onto
             sign = np.concatenate((np.ones(toxic.sum()), -np.ones(len(neg))))
             w = _machine(x, sign)
             weights = np.zeros(1 << 18, np.float32)
@@ -280,6 +293,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     seen = held if held.any() else np.ones(len(rows), bool)
     peaks = np.concatenate([model.peaks([t for t, h in zip(texts[i : i + 200], seen[i : i + 200], strict=True) if h]) for i in range(0, len(texts), 200)])
     model.link = _logistic(peaks, y[seen].astype(float))
+    C.trim()
     return model
 
 
