@@ -2,10 +2,11 @@
 
 A text is cut where a rolling hash of its last bytes says so, so passages that documents share are cut alike. Each
 distinct chunk is encoded once for as long as a worker holds it, whatever document it comes from. A cut can fall inside
-a token: so the stretch around each join, from the last safe place before it to the first one behind it, is encoded
-again, and the stretch grows until both neighbours' tokens agree with it exactly at its ends. A place is safe where the
-pre-tokenizer always starts a new piece, whatever stands around it: before a space between two characters that aren't
-white space. Decoding joins the bytes of the tokens.
+a token: so the stretch around each join is encoded again, together with a piece of either neighbour's that is encoded
+already. Where its tokens begin and end with exactly those of the two pieces, what lies between stands; else the stretch
+grows to the whole text. Pieces lie between safe places, where the
+pre-tokenizer always starts anew, whatever stands around: before a space between two characters that aren't white space.
+Inside a chunk, short pieces are looked up in a table of a worker's too. Decoding joins the bytes of the tokens.
 
 Defined results: a null text is empty (no tokens); repeated rows each have their row; an empty table gives no rows;
 special strings in a text become their ids, as the library's defaults have it; ids outside the vocabulary raise.
@@ -71,7 +72,7 @@ class Codec:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.cache: OrderedDict[str, tuple] = OrderedDict()
         self.pieces: dict[str, bytes] = {}
-        self.held = self.hits = self.misses = 0
+        self.held = self.hits = self.misses = self.regrown = 0
 
     def cuts(self, text: str) -> np.ndarray:
         """Where the chunks of a text end, in characters; the same bytes before a place give the same answer."""
@@ -111,7 +112,7 @@ class Codec:
         return array("I", self.engine.encode_ordinary(text)).tobytes() if text else b""
 
     def chunk(self, text: str) -> tuple:
-        """A chunk's ids from its first to its last safe place, and the text before and behind them; without two such places, no ids."""
+        """A chunk's text before its first safe place, ids from there to the last one, text behind it, and the first and last piece between with their ids; without two such places, no ids."""
         found = self.cache.get(text)
         if found is not None:
             self.hits += 1
@@ -119,39 +120,62 @@ class Codec:
             return found
         self.misses += 1
         safe = _SAFE.search(text)
-        first = safe.start() if safe else len(text)
-        last = first
+        found = (text, None, None, None, None)
         if safe:
-            back = text.rfind(" ")
-            while back > first and not _SAFE.match(text, back):
-                back = text.rfind(" ", 0, back)
-            last = back
-        found = (text[:first], self.plain(text[first:last]) if last > first else None, text[last:]) if safe else (text, None, None)
+            first = safe.start()
+            last = self.safe_before(text, len(text), first)
+            found = (text[:first], None, text[last:], None, None)
+            if last > first:
+                left, right = text[first : _SAFE.search(text, first + 1).start()], text[self.safe_before(text, last, first) : last]
+                found = (text[:first], self.plain(text[first:last]), text[last:], (left, self.engine_bytes(left)), (right, self.engine_bytes(right)))
         self.cache[text] = found
-        self.held += 2 * len(text) + 200
+        self.held += 2 * len(text) + 400
         while self.held > self.cache_bytes:
             old, _ = self.cache.popitem(last=False)
-            self.held -= 2 * len(old) + 200
+            self.held -= 2 * len(old) + 400
         return found
 
+    @staticmethod
+    def safe_before(text: str, end: int, first: int) -> int:
+        """The last safe place before end, but not before the safe place first."""
+        back = text.rfind(" ", 0, end)
+        while back > first and not _SAFE.match(text, back):
+            back = text.rfind(" ", 0, back)
+        return max(back, first)
+
     def ordinary(self, text: str) -> list[np.ndarray]:
-        out, join, at = [], "", 0
+        out, join, before, at = [], "", ("", b""), 0
         for end in self.cuts(text).tolist():
-            head, ids, tail = self.chunk(text[at:end])
+            head, ids, tail, left, right = self.chunk(text[at:end])
             at = end
             join += head
             if tail is None:  # no safe place: the stretch grows
                 continue
-            out.append(self.repaired(join))
             if ids is not None:
-                out.append(ids)
-            join = tail
-        out.append(self.repaired(join))
-        return out
-
-    def repaired(self, stretch: str) -> np.ndarray:
-        """The ids of a stretch around a join; its ends are safe places, so the neighbours' tokens stand as they are."""
-        return self.plain(stretch)
+                between = self.repaired(before, join, left)
+                if between is None:
+                    return [self.whole(text)]
+                out += [between, ids]
+                join, before = tail, right
+            else:
+                join += tail
+        between = self.repaired(before, join, ("", b""))
+        return [self.whole(text)] if between is None else [*out, between]
+
+    def repaired(self, before: tuple[str, bytes], join: str, behind: tuple[str, bytes]) -> np.ndarray | None:
+        """The ids of a stretch around a join, if the tokens of the pieces on either side come out as they have before; else None."""
+        if not join:
+            return np.empty(0, np.uint32)
+        raw = self.engine_bytes(before[0] + join + behind[0])
+        head, tail = len(before[1]), len(raw) - len(behind[1])
+        if head > tail or raw[:head] != before[1] or raw[tail:] != behind[1]:
+            return None
+        return np.frombuffer(raw[head:tail], np.uint32)
+
+    def whole(self, text: str) -> np.ndarray:
+        """The ids of a text without any reuse."""
+        self.regrown += 1
+        return np.frombuffer(self.engine_bytes(text), np.uint32)
 
     def encode(self, text: str) -> np.ndarray:
         out: list[np.ndarray] = []

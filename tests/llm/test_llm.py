@@ -416,6 +416,17 @@ def test_small_chunks_are_repaired():
     codec = bpe_reuse.Codec(queries.vocabulary(), chunk_bytes=4)
     for k, text in enumerate(strange(1500)):
         assert list(codec.encode(text)) == ids[k] and codec.decode(codec.encode(text)) == t.decode(ids[k], skip_special_tokens=False)
+    assert codec.regrown == 0
+
+
+def test_pieces_that_disagree_are_encoded_again():
+    t, ids = reference(enumerate(["one two three four five six seven eight nine ten " * 9]))
+    codec = bpe_reuse.Codec(queries.vocabulary(), chunk_bytes=16)
+    text = "one two three four five six seven eight nine ten " * 9
+    codec.encode(text)
+    for key, (head, inner, tail, left, right) in codec.cache.items():
+        codec.cache[key] = head, inner, tail, left and (left[0], left[1] + left[1]), right
+    assert list(codec.encode(text)) == ids[0] and codec.regrown == 1
 
 
 def test_counts_match_the_library(docs, rows, odd, none, monkeypatch):
