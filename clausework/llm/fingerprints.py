@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import votes
+from .common import stored
 
 #: 64-bit planes of a fingerprint.
 PLANES = [lambda t: t, lambda t: F.xxhash64(t)]
-#: Quantiles of the ids, rows in a cell, and cells up to which their heads are broadcast (24 bytes each).
-QUANTILES, CELL_ROWS, BROADCAST_CELLS = 64, 2_000, 200_000
+#: Quantiles of the ids, rows in a cell, cells in a run, and cells up to which their heads are broadcast (24 bytes each).
+QUANTILES, CELL_ROWS, RUN, BROADCAST_CELLS = 64, 2_000, 1_000, 200_000
+#: The search of the query: the radius in bits, the blocks of a permuted table, and of which ids the rows ask.
+RADIUS, BLOCKS, ASKED = 3, 5, 50
 
 
 def fingerprints(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -61,8 +64,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     docs, n = _cells(docs)
     head = docs.groupBy("cell").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
-    down = Window.orderBy(F.desc("cell"))  # a row for each cell
-    follow = head.select("cell", F.coalesce(F.lead("head").over(down), F.first("head").over(down)).alias("next"))
+    # each cell's successor: in its run of cells; of a run's last cell, the first one of the next run that has any
+    head = stored(head.withColumn("run", F.floor(F.col("cell") / RUN)), "fingerprint-heads")
+    down = Window.orderBy(F.desc("run"))  # a row for each run
+    runs = head.groupBy("run").agg(F.max(F.struct("cell", "head")).alias("top"))
+    runs = runs.select("run", F.coalesce(F.lead("top.head").over(down), F.first("top.head").over(down)).alias("beyond"))
+    inside = Window.partitionBy("run").orderBy(F.desc("cell"))
+    follow = head.join(runs, "run").select("cell", F.coalesce(F.lead("head").over(inside), "beyond").alias("next"))
     follow = follow.select(F.col("cell").alias("of"), F.col("next.doc_id").alias("next_id"), F.col("next.tie").alias("next_tie"))
     follow = F.broadcast(follow) if n <= BROADCAST_CELLS else follow
     ghosts = docs.join(follow, docs["doc_id"].eqNullSafe(F.col("next_id")) & (docs["tie"] == F.col("next_tie"))).dropDuplicates(["of"])
@@ -78,7 +86,10 @@ def edited(n_chars: Column, text: Column, next_text: Column) -> Column:
 
 
 def compare(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near.
+
+    n_near: for rows whose id ASKED divides, how many other fingerprints of documents the block tables find within RADIUS bits; null for other rows.
+    """
     rows = with_next(docs).withColumn("n_chars", F.length("text"))
     rows = rows.withColumn("edited", F.when(~F.col("ghost"), edited(F.col("n_chars"), F.col("text"), F.col("next_text"))))
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).drop("next_text")
@@ -90,7 +101,11 @@ def compare(docs: DataFrame) -> DataFrame:
     follow = F.lead("fingerprint").over(Window.partitionBy("cell").orderBy("place"))
     prints = prints.withColumn("next", follow).filter(~F.col("ghost"))
     like = lambda a, b: F.lit(1.0) - votes.differing(F.col(a), F.col(b), len(PLANES)) / F.lit(64.0 * len(PLANES))
-    return prints.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next").alias("near_next"))
+    prints = stored(prints.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next").alias("near_next")), "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
+    found = near(prints, prints.filter(asks), RADIUS, BLOCKS).filter("distance > 0").groupBy("query").agg(F.count("*").alias("n"))
+    some = prints.filter(asks).join(found, F.col("fingerprint") == F.col("query"), "left").select(*prints.columns, F.coalesce("n", F.lit(0)).alias("n_near"))
+    return prints.filter(~asks).withColumn("n_near", F.lit(None).cast("long")).unionByName(some)
 
 
 def tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:

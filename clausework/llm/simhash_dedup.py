@@ -27,6 +27,8 @@ from . import votes
 from .graph import components
 
 RADIUS, PIVOTS, CELL, BLOCKS = 2, 16, 8_192, 4
+#: Entries that a task looks at together, whole cells but for the last.
+TOGETHER = 1 << 16
 _REFERENCES = np.random.default_rng(11).integers(0, 2**63, PIVOTS, dtype=np.uint64) * np.uint64(2) + np.arange(PIVOTS, dtype=np.uint64) % np.uint64(2)
 
 
@@ -64,12 +66,27 @@ def pivot_links(cell: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Itera
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [[b.column(i).to_numpy() for i in range(3)] for b in batches]
-    if not parts:
-        return
-    tab, key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
-    whole = tab.astype(np.int64) << 32 | key
-    _, cell, size = np.unique(whole, return_inverse=True, return_counts=True)
+    """Links of whole cells, which stand together, some at a time."""
+    held: list[list[np.ndarray]] = []
+
+    def flush(last: bool) -> pa.RecordBatch:
+        tab, key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+        cell = tab.astype(np.int64) << 32 | key
+        done = len(cell) if last else int(np.argmax(cell == cell[-1]))  # the last cell may go on
+        held[:] = [[tab[done:], key[done:], fp[done:]]]
+        return _spanning(cell[:done], fp[:done])
+
+    for batch in batches:
+        held.append([batch.column(i).to_numpy() for i in range(3)])
+        if sum(len(x) for x, *_ in held) >= TOGETHER:
+            yield flush(False)
+    if held:
+        yield flush(True)
+
+
+def _spanning(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """A spanning forest of the links of some cells."""
+    _, cell, size = np.unique(cell, return_inverse=True, return_counts=True)
     keep = size[cell] > 1
     cell, fp = cell[keep], fp[keep].view(np.uint64)
     root: dict[int, int] = {}
@@ -88,7 +105,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != q:
                 root[max(p, q)] = min(p, q)
                 out.append((x, y))
-    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -96,11 +113,12 @@ def links(prints: DataFrame) -> DataFrame:
     C.bound_batches(prints.sparkSession)
     cells = _cells(prints)
     hot = C.stored(cells.groupBy("tab", "key").count().filter(F.col("count") > CELL).select("tab", "key"), "hot-cells")
-    if not hot.limit(1).count():
-        return cells.repartition("tab", "key").mapInArrow(C.trimmed(_forest), "a long, b long")
-    few = hot.count() <= 100_000
-    hot = F.broadcast(hot) if few else hot
-    out = cells.join(hot, ["tab", "key"], "left_anti").repartition("tab", "key").mapInArrow(C.trimmed(_forest), "a long, b long")
+    forest = lambda df: df.repartition("tab", "key").sortWithinPartitions("tab", "key").mapInArrow(C.trimmed(_forest), "a long, b long")
+    many = hot.count()
+    if not many:
+        return forest(cells)
+    hot = F.broadcast(hot) if many <= 100_000 else hot
+    out = forest(cells.join(hot, ["tab", "key"], "left_anti"))
     free = [[b for k in range(BLOCKS) if k not in chosen for b in range(16 * k, 16 * k + 16)] for chosen in combinations(range(BLOCKS), BLOCKS - RADIUS)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     masks = [F.array(*(F.lit(signed(1 << i | 1 << j)) for i, j in combinations(bits, 2))) for bits in free]

@@ -456,6 +456,8 @@ def test_top_k_matches_brute_force(spark, monkeypatch, large):
     monkeypatch.setattr(topk, "TILE", 3)
     monkeypatch.setattr(topk, "BLOCK", 7)
     monkeypatch.setattr(topk, "FAN", 2)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 200)
+    monkeypatch.setattr(topk, "SHARD_BYTES", 900)
     rnd = np.random.default_rng(1)
     vectors = {k: [int(x) * large for x in rnd.integers(-3, 4, 4)] for k in range(120)}
     some = [(k, v) for k, v in vectors.items()] + [(500, None), (501, [1, 2])]
