@@ -33,7 +33,7 @@ from .graph import components
 
 BANDS, ROWS, BITS, RADIUS, PIVOTS, BLOCK = 28, 4, 256, 84, 16, 512
 #: Bytes of shingle hashes in a file, and of those that a task keeps at hand.
-FILE_BYTES, CACHE_BYTES = 16 << 20, 64 << 20
+FILE_BYTES, CACHE_BYTES = 8 << 20, 16 << 20
 #: Shingles whose bits are counted together, and in one byte.
 VOTES, LANE = 8_192, 255
 PLANES = [f"fp{k}" for k in range(BITS // 64)]
