@@ -15,9 +15,15 @@ STYLES = {
 # End of the fixed values.
 
 
+_BLANK = r"^[\s\u3000]+|[\s\u3000]+$"
+
+
 def wrapped(title):
-    """A title in one pair of brackets."""
-    bare = F.regexp_replace(F.trim(title), "^[（(]+|[）)]+$", "")
+    """A title in one pair of brackets: pairs that stand around all of it go first, a bracket at one end stays."""
+    bare = F.regexp_replace(title, _BLANK, "")
+    paired = r"(?s)^[（(].*[）)]$"
+    opened = F.aggregate(F.sequence(F.lit(1), F.length(bare)), bare, lambda t, _: F.when(t.rlike(paired), F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), _BLANK, "")).otherwise(t))
+    bare = F.when(bare.rlike(paired), opened).otherwise(bare)
     return F.when(bare == "", "").otherwise(F.concat(F.lit("（"), bare, F.lit("）")))
 
 

@@ -80,3 +80,11 @@ def test_most_common_and_template(spark):
     styles = [(1, s, "本文") for s in emit.STYLES["t4"]] + [(2, s, "　本文") for s in emit.STYLES["t2"]] + [(3, "Normal", "x")]
     found = settings.detect_template(spark.createDataFrame(styles, "doc_id int, style string, text string"))
     assert {r.doc_id: r.template for r in found.collect()} == {1: "t4", 2: "t3"}
+
+
+def test_wrapped_titles(spark):
+    from clausework.operators import emit
+
+    want = {"目的": "（目的）", "（目的）": "（目的）", "((目的))": "（目的）", "目的（注）": "（目的（注））", "（ （目的） ）": "（目的）", "（注）目的": "（（注）目的）", "（）": "", "　": "", "": "", "（": "（（）"}
+    df = spark.createDataFrame([(t,) for t in want], "title string")
+    assert {r.title: r.w for r in df.select("title", emit.wrapped(df.title).alias("w")).collect()} == want

@@ -57,6 +57,50 @@ def test_a_moved_reference_is_no_change():
     assert [k for k, *_ in kinds(old, new)] == ["added", "renumbered", "renumbered"]
 
 
+def test_pairing_sums_up_highest():
+    import itertools
+    import random
+
+    def best(s, n, m):
+        """The highest sum by trying all ways."""
+        most = 0.0
+        for k in range(min(n, m) + 1):
+            for a in itertools.combinations(range(n), k):
+                for b in itertools.combinations(range(m), k):
+                    if all(s[i, j] >= compare.PAIRED for i, j in zip(a, b, strict=True)):
+                        most = max(most, sum(s[i, j] for i, j in zip(a, b, strict=True)))
+        return most
+
+    rnd = random.Random(3)
+    for _ in range(60):
+        n, m = rnd.randrange(5), rnd.randrange(5)
+        s = {(i, j): rnd.choice((0.0, 0.5, 0.6, 0.9, 1.0)) for i in range(n) for j in range(m)}
+        pairs = compare.pair_similar(list(range(n)), list(range(m)), lambda i, j, s=s: s[i, j])
+        assert [i for i, _ in pairs if i is not None] == list(range(n)) and [j for _, j in pairs if j is not None] == list(range(m))
+        assert abs(sum(s[p] for p in pairs if None not in p) - best(s, n, m)) < 1e-9
+
+
+def test_runs_of_renumbering():
+    chapter = lambda n, *articles: {"type": "chapter", "number": n, "number_str": f"第{compare.wide(n)}章", "title": f"章{n}", "articles": list(articles)}
+    old = [chapter(1, *(article(k, f"題{k}", f"本文その{k}。") for k in (1, 2, 3))), chapter(2, *(article(k, f"題{k}", f"本文その{k}。") for k in (4, 5, 6)))]
+    new = [chapter(1, article(1, "新", "別の定めを置くものとする。"), *old[0]["articles"]), *old[1:]]
+    rows = compare.view(old, new)["rows"]
+    assert [(r["kind"], r["old_heading"], r["new_heading"]) for r in rows] == [
+        ("added", "", "第１条（新）"), ("renumbered", "第１条（題1）", "第２条（題1）"), ("renumbered", "第２条（題2）", "第３条（題2）"), ("summary", "第３条～第６条", "第４条～第７条"),
+    ]
+    assert rows[-1]["note"] == "条番号の繰り下げのみ（内容の変更なし、以降同様）"
+    blocks = compare.view(old, new)["blocks"]
+    assert [b["row_id"] for b in blocks if b["row_note"]] == ["summary:第３条～第６条"]
+
+
+def test_marks_of_every_level():
+    tree = [{"type": "article", "number": 1, "number_str": "第１条", "title": "甲", "title_note": "注", "lead": ["前書"], "paragraphs": [{"number": 1, "body": "一", "items": [{"number": 1, "body": "二", "sub_items": [{"number": 1, "body": "三", "sub_items2": [{"number": 1, "body": "四"}]}, {"number": 2, "body": "五"}]}, {"number": 2, "body": "六", "sub_items": [{"body": "七"}]}]}], "tables": [{"rows": [["八", "九"]]}]}]
+    (unit,) = compare.units(tree, True)
+    assert unit["parts"] == [("", "", "前書"), ("第１条", "第1条", "（甲）　注"), ("１　", "1　", "一"), ("（１）", "（1）", "二"), ("　ア　", "　ア　", "三"), ("　　（ア）", "　　（ア）", "四"), ("　イ　", "　イ　", "五"), ("（２）", "（2）", "六"), ("　＊　", "　", "七"), ("", "", "［表］　八／九")]
+    (unit,) = compare.units(tree, False)
+    assert [x for x, *_ in unit["parts"]] == ["", "第１条", "１　", "（１）", "　ア　", "　　（ア）", "　イ　", "（２）", "　＊　", ""]
+
+
 def test_equal_headings_keep_their_rows_apart():
     old = [article(1, "甲", "一を定める。"), article(1, "甲", "二を定める。")]
     new = [article(1, "甲", "一を変える。"), article(2, "甲", "二を変える。")]
@@ -93,9 +137,28 @@ def test_variants(spark):
 
 def test_rules_of_trees():
     broken = [{"type": "article", "number": True, "paragraphs": [{"body": 1}]}, {"type": ""}, 3, {"type": "supplement", "title": "x" * 201, "body": ""}]
-    assert [r for _, r in validate.Checker().tree(broken)] == ["number", "body", "type", "node", "supplement"]
-    assert list(validate.Checker().tree(BASE)) == []
-    assert [r for _, r in validate.Checker().tree([{"type": "drawing", "index": -1}, {"type": "unknown", "x": 1}])] == ["figure_index"]
+    assert [r for _, r in validate.broken(broken)] == ["number", "body", "type", "node", "supplement"]
+    assert validate.broken(BASE) == []
+    assert [r for _, r in validate.broken([{"type": "drawing", "index": -1}, {"type": "unknown", "x": 1}])] == ["figure_index"]
+
+
+@pytest.mark.parametrize(
+    "node, want",
+    [
+        ({"type": "article", "paragraphs": 3}, [("[0]/paragraphs", "list")]),
+        ({"type": "article", "paragraphs": [{"items": [{"sub_items": [{"sub_items2": None, "level": "x"}]}]}]}, [("[0]/paragraphs[0]/items[0]/sub_items[0]", "mark_or_level")]),
+        ({"type": "article", "tables": 1, "drawings": [{"type": "formula", "num": "x" * 201}, {"type": "formula", "num": "a\x01"}, {"type": "formula", "den": 3}]}, [("[0]", "tables_kind"), ("[0]/drawings[0]", "formula_length"), ("[0]/drawings[1]", "formula_control"), ("[0]/drawings[2]", "formula_kind")]),
+        ({"type": "article", "drawings": [{"type": "image", "mime": "image/gif", "data": ""}, {"type": "image", "mime": "image/png", "data": "!"}, {"type": "image", "mime": "image/png", "data": "AAAA"}, {"type": "drawing", "text": 3}]}, [("[0]/drawings[0]", "image_kind"), ("[0]/drawings[1]", "image_broken"), ("[0]/drawings[2]", "image_mismatch"), ("[0]/drawings[3]", "drawing_text")]),
+        ({"type": "article", "tables": [{"rows": [["x"] * 11]}, {"rows": [["x" * 1001]]}, {"rows": [3]}] + [{"rows": [["x"] * 10] * 50}] * 5}, [("[0]/tables[0]", "table_shape"), ("[0]/tables[1]", "table_cell"), ("[0]/tables[2]", "table_rows"), ("[0]/tables[7]", "table_total")]),
+        ({"type": "chapter", "title": 1}, [("[0]", "chapter")]),
+        ({"type": "chapter", "number": 1.5, "articles": [3]}, [("[0]", "number"), ("[0]/articles[0]", "article")]),
+        ({"type": "front_matter", "indices": ["x"]}, [("[0]", "matter")]),
+        ({"type": "plain", "body": 1}, [("[0]", "body")]),
+    ],
+)
+def test_each_rule(node, want):
+    assert validate.broken([node]) == want
+    assert validate.broken(node) == [("", "tree")]
 
 
 def test_split_and_merge_are_inverse():
