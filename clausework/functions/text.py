@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +13,16 @@ from . import lexicon as X
 WIDE, NARROW = "０１２３４５６７８９", "0123456789"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row, however often it is used; Catalyst would write it out at each place."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def groups(s: Column, pattern: str, n: int) -> Column:
+    """The first n groups of a pattern that matches all of s, by one match; a group that takes no part is empty."""
+    return F.split(F.regexp_replace(s, pattern, "\x01".join(f"${k}" for k in range(1, n + 1))), "\x01", n)
+
+
 def strip_left(c: Column) -> Column:
     return F.regexp_replace(c, "^[　 \\t]+", "")
 
@@ -60,8 +73,7 @@ def kanji_number(c: Column) -> Column:
 
 def number(c: Column) -> Column:
     """Digits of either width, else kanji numerals, else 1."""
-    plain = F.when(narrow(c).rlike("^[0-9]+$"), narrow(c)).cast("long")
-    return F.coalesce(plain, F.nullif(kanji_number(c), F.lit(0)), F.lit(1))
+    return let(narrow(c), lambda d: F.when(d.rlike("^[0-9]+$"), d.cast("long")).otherwise(F.coalesce(F.nullif(let(d, kanji_number), F.lit(0)), F.lit(1))))
 
 
 def kana_number(c: Column) -> Column:
@@ -82,28 +94,32 @@ def circled_number(c: Column) -> Column:
 
 def marker(line: Column) -> Column:
     """struct(kind, number, body) of a line's marker; kind is null without one. The first kind that fits is taken."""
-    s = strip_left(line)
     read = {
         "digits": lambda m: narrow(m).cast("long"), "kanji": kanji_number, "circled": circled_number, "kana": kana_number, "roman": roman_number,
         "boxed": lambda m: (F.ascii(m) - 0x2473).cast("long"), "latin": lambda m: (F.ascii(m) - 96).cast("long"),
     }
-    out = F.lit(None).cast("struct<kind:string,number:bigint,body:string>")
-    for kind, pattern, how in reversed(X.MARKERS):
-        mark, body = F.regexp_extract(s, pattern, 1), F.regexp_extract(s, pattern, 2)
-        out = F.when(s.rlike(pattern), F.struct(F.lit(kind).alias("kind"), read[how](mark).alias("number"), F.trim(body).alias("body"))).otherwise(out)
-    return F.coalesce(out, F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("number"), s.alias("body")))
 
+    def told(s: Column) -> Column:
+        out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("number"), s.alias("body"))
+        for kind, pattern, how in reversed(X.MARKERS):
+            body = F.trim(F.regexp_extract(s, pattern, 2)).alias("body")
+            fits = let(F.regexp_extract(s, pattern, 1), partial(lambda kind, how, body, m: F.struct(F.lit(kind).alias("kind"), read[how](m).alias("number"), body), kind, how, body))
+            out = F.when(s.rlike(pattern), fits).otherwise(out)
+        return out
 
-def _group(s: Column, pattern: str, k: int) -> Column:
-    return F.nullif(F.regexp_extract(s, pattern, k), F.lit(""))
+    return let(strip_left(line), told)
 
 
 def article_title(rest: Column) -> Column:
     """struct(title, body) of what stands behind an article's number."""
-    out = F.struct(F.lit("").alias("title"), F.regexp_replace(rest, f"^[：:]{X.WS}*", "").alias("body"))
-    for p in (X.TITLE_AFTER_COLON, X.TITLE_IN_BRACKETS, X.TITLE_IN_PARENS):
-        out = F.when(rest.rlike(p), F.struct(F.trim(F.regexp_extract(rest, p, 1)).alias("title"), F.trim(F.regexp_extract(rest, p, 2)).alias("body"))).otherwise(out)
-    return out
+
+    def told(r: Column) -> Column:
+        out = F.struct(F.lit("").alias("title"), F.regexp_replace(r, f"^[：:]{X.WS}*", "").alias("body"))
+        for p in (X.TITLE_AFTER_COLON, X.TITLE_IN_BRACKETS, X.TITLE_IN_PARENS):
+            out = F.when(r.rlike(p), F.struct(F.trim(F.regexp_extract(r, p, 1)).alias("title"), F.trim(F.regexp_extract(r, p, 2)).alias("body"))).otherwise(out)
+        return out
+
+    return let(rest, told)
 
 
 def without_first_number(body: Column) -> Column:
@@ -115,15 +131,20 @@ def without_first_number(body: Column) -> Column:
 
 def article(line: Column) -> Column:
     """struct(number, branch, range_to, number_str, title, body) of an article's heading; null if the line is none."""
-    s = strip_left(line)
-    g = lambda k: _group(s, X.ARTICLE, k)
-    n = number(g(1))
-    following = F.when(number(g(6)) == n + 1, number(g(6)))
-    to = F.when(g(6).isNotNull(), following).otherwise(F.when(F.coalesce(g(4), g(5)).isNotNull(), number(F.coalesce(g(4), g(5)))))
-    rest = F.coalesce(g(7), F.lit(""))
-    title = article_title(F.trim(rest))
-    label = F.regexp_replace(F.left(s, F.length(s) - F.length(rest)), X.WS, "")
-    return F.when(s.rlike(X.ARTICLE), F.struct(n.alias("number"), F.coalesce(F.when(g(2).isNotNull(), number(g(2))), F.lit(0)).cast("long").alias("branch"), to.alias("range_to"), label.alias("number_str"), title["title"].alias("title"), without_first_number(title["body"]).alias("body")))
+
+    def told(s: Column) -> Column:
+        def parts(g: Column) -> Column:
+            at = lambda k: F.nullif(F.get(g, k - 1), F.lit(""))
+            n, rest = number(at(1)), F.coalesce(at(7), F.lit(""))
+            following = let(number(at(6)), lambda x: F.when(x == n + 1, x))
+            to = F.when(at(6).isNotNull(), following).otherwise(F.when(F.coalesce(at(4), at(5)).isNotNull(), number(F.coalesce(at(4), at(5)))))
+            label = F.regexp_replace(F.left(s, F.length(s) - F.length(rest)), X.WS, "")
+            branch = F.when(at(2).isNotNull(), number(at(2))).otherwise(F.lit(0).cast("long"))
+            return let(article_title(F.trim(rest)), lambda t: F.struct(n.alias("number"), branch.alias("branch"), to.alias("range_to"), label.alias("number_str"), t["title"].alias("title"), without_first_number(t["body"]).alias("body")))
+
+        return F.when(s.rlike(X.ARTICLE), let(groups(s, X.ARTICLE, 7), parts))
+
+    return let(strip_left(line), told)
 
 
 def chapter(line: Column) -> Column:

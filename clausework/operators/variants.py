@@ -56,7 +56,12 @@ def group_pattern(category: str, forms: tuple[str, ...]) -> str:
 def group_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: list[tuple[str, tuple[str, ...]]] | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """key, category, group_no, form, n of the groups of which a document has two spellings or more."""
     some = [(c, kept) for c, forms in groups or dictionary() if len(kept := tuple(f for f in forms if f not in exclude)) > 1]
-    found = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(k).alias("group_no"), F.regexp_extract_all(text, F.lit(f"({group_pattern(c, forms)})")).alias("hits")) for k, (c, forms) in enumerate(some)))
+    def hits(category: str, forms: tuple[str, ...]) -> Column:
+        """All finds of a group's forms where two of them are in the text at all, which a plain search tells sooner than the pattern."""
+        there = sum((F.col(text).contains(f).cast("int") for f in forms), F.lit(0))
+        return F.when(there > 1, F.regexp_extract_all(text, F.lit(f"({group_pattern(category, forms)})"))).otherwise(F.array().cast("array<string>"))
+
+    found = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(k).alias("group_no"), hits(c, forms).alias("hits")) for k, (c, forms) in enumerate(some)))
     rows = docs.select(key, F.explode(F.filter(found, lambda g: F.size(g["hits"]) > 1)).alias("g")).select(key, "g.category", "g.group_no", F.explode("g.hits").alias("form"))
     counts = rows.groupBy(key, "category", "group_no", "form").agg(F.count("*").alias("n"))
     several = counts.groupBy(key, "group_no").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
