@@ -126,6 +126,20 @@ def put_file(uri: str, data: bytes) -> None:
     os.replace(part, path)
 
 
+def drop_file(uri: str) -> None:
+    """Remove a file, if it is still there."""
+    path = local_path(uri)
+    if path is None:
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(uri)
+        if system.get_file_info(path).is_file:
+            system.delete_file(path)
+        return
+    with contextlib.suppress(FileNotFoundError):
+        os.remove(path)
+
+
 def map_file(uri: str, kind: str) -> np.ndarray:
     """The file's array, memory-mapped; from a store without local paths, read through Arrow."""
     path = local_path(uri)

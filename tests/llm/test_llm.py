@@ -88,7 +88,7 @@ def got(df, key="doc_id"):
 
 
 def test_language_model_matches_brute_force(docs, rows):
-    model = lm.fit(docs.filter(~lm.held_out("doc_id", 7, 2)))
+    model = lm.fit(docs.filter(~lm.held_out("doc_id", 7, 2)), order=2)
     out = got(lm.score(docs, model))
     tokens = {k: [*words(t), "</s>"] for k, t, *_ in rows}
     train = [tokens[k] for k in tokens if zlib.crc32(str(k).encode()) % 7 != 2]
@@ -130,6 +130,34 @@ def test_registered_language_model_is_of_three_words(spark, docs, rows, tmp_path
         assert math.isclose(out[k]["score"], score, abs_tol=1e-8)
 
 
+def test_language_model_of_many_small_parts(docs, rows, monkeypatch):
+    monkeypatch.setattr(lm, "COUNT_TOKENS", 40)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 500)
+    out = got(lm.score(docs, lm.fit(docs.filter(~lm.held_out("doc_id", 7, 2)))))
+    for k, score in trigram_scores(rows).items():
+        assert math.isclose(out[k]["score"], score, abs_tol=1e-8)
+
+
+def test_a_task_of_pairs_that_runs_again_finds_the_contexts(tmp_path):
+    import pyarrow as pa
+
+    folder, bits = str(tmp_path), 2
+    rnd = np.random.default_rng(2)
+    key = np.unique(rnd.integers(1, 9, (200, 3)).astype("u4"), axis=0)
+    a, b, c = key.T
+    bucket = lm.C.bucket_of(lm._pair_hash(a, b), bits)
+    batch = lambda x, y, z: [lm._batch([("gram", 1, lm._pack_triples(x, y, z, np.full(len(x), 3, "u4")))])]
+    mine = bucket == 1
+    assert all((x == y).all() for x, y in zip(lm._unpack_triples(lm._pack_triples(a, b, c, c)), (a, b, c, c), strict=True))
+    list(lm._gram_reducer(folder, bits)(iter(batch(a[mine], b[mine], c[mine]))))
+    reduce = lm._pair_reducer(folder, bits, False, bytes([2]))
+    first = pa.Table.from_batches(list(reduce(iter(batch(a[mine], b[mine], c[mine])))))
+    files = {f.name: f.read_bytes() for f in tmp_path.iterdir()}
+    assert not any(f.startswith("context") for f in files)
+    assert pa.Table.from_batches(list(reduce(iter(batch(a[mine], b[mine], c[mine]))))).equals(first)
+    assert {f.name: f.read_bytes() for f in tmp_path.iterdir()} == files
+
+
 def test_fingerprints_and_edits(docs, rows):
     out = got(fingerprints.compare(docs))
     order = sorted(rows, key=lambda r: -r[0])
@@ -543,8 +571,8 @@ def test_lost_arrays_are_an_error(spark, docs, tmp_path):
     import glob
     import os
 
-    model = lm.fit(docs, order=2)
-    files = glob.glob(model.folder.removeprefix("file://") + "/gram2-*.h")
+    model = lm.fit(docs, order=3)
+    files = glob.glob(model.folder.removeprefix("file://") + "/pair-*.high")
     assert files
     os.remove(files[0])
     with pytest.raises(Exception, match="No such file"):
