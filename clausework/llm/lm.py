@@ -483,8 +483,14 @@ class Model:
 
     def keyed(self, kind: str, width: int, bucket: np.ndarray, keys: np.ndarray) -> np.ndarray:
         """len(keys) x width numbers; 0 where a key isn't."""
-        order = np.lexsort((keys, bucket))
-        fresh = np.concatenate(([True], (np.diff(keys[order]) != 0) | (np.diff(bucket[order]) != 0))) if len(keys) else np.empty(0, bool)
+        if self.bits <= 16:
+            both = bucket.astype(np.uint64) << np.uint64(48) | keys
+            order = np.argsort(both)
+            both = both[order]
+            fresh = np.concatenate(([True], both[1:] != both[:-1]))[: len(both)]
+        else:
+            order = np.lexsort((keys, bucket))
+            fresh = np.concatenate(([True], (np.diff(keys[order]) != 0) | (np.diff(bucket[order]) != 0)))[: len(keys)]
         ask, where = order[fresh], np.cumsum(fresh) - 1
         out = np.zeros((len(ask), width))
         cuts = np.searchsorted(bucket[ask], np.arange(2**self.bits + 1))
