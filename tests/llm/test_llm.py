@@ -595,3 +595,220 @@ def test_shelves_hold_all_rows(spark):
     keys = np.array([r["k"] for r in rows] + [17], np.int64).view(np.uint64)
     who, (ids, v) = shelf.of(keys)
     assert len(who) == 5000 and all(rows[w]["id"] == i and i % 3 == x for w, i, x in zip(who, ids, v, strict=True))
+
+
+# the registered queries, against their contracts
+
+
+@pytest.fixture(scope="module")
+def tables(spark, docs, rows, tmp_path_factory):
+    top = tmp_path_factory.mktemp("tables")
+    docs.write.parquet(str(top / "documents.parquet"))
+    labels = [(k, int("ka" in (t or "")), int("lo" in (t or ""))) for k, t, *_ in rows]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+    rnd = np.random.default_rng(4)
+    vectors = [(k, [float(x) for x in rnd.normal(size=5)], 0) for k in range(60)] + [(61, [1.0, float("nan"), 0.0, 0.0, 0.0], 0), (80, None, 0)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(str(top / "embeddings.parquet"))
+    return str(top)
+
+
+def crc(k, modulus):
+    return zlib.crc32(str(k).encode()) % modulus
+
+
+def run(spark, tables, number):
+    (name,) = (n for n in queries.QUERIES if n.startswith(f"op{number}_"))
+    return queries.QUERIES[name](spark, tables)
+
+
+def test_query_1(spark, tables, rows):
+    df = run(spark, tables, 1)
+    assert df.columns[:7] == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert dict(df.dtypes)["train_tokens"] == "bigint" and dict(df.dtypes)["held_out"] == "boolean"
+    tokens = {k: [*words(t), "</s>"] for k, t, *_ in rows}
+    c = Counter(w for k in tokens if crc(k, 7) != 2 for w in tokens[k])
+    n, v = sum(c.values()), len(c)
+    for k, r in got(df).items():
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (crc(k, 7) == 2, len(tokens[k]), sum(c[w] > 0 for w in tokens[k]), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tokens[k]), abs_tol=1e-8)
+
+
+def split_words(text):
+    """Lower-cased words of a text."""
+    return [w for w in re.split("[ \\t\\n\\x0b\\f\\r]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+def test_query_2(spark, tables, rows):
+    df = run(spark, tables, 2)
+    assert df.columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    texts = {k: t or "" for k, t, *_ in rows}
+    order, out = sorted(texts, reverse=True), got(df)
+    edited = {}
+    for k, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        third = len(texts[k]) // 3
+        edited[k] = texts[k][: len(texts[k]) - third] + texts[nxt][:third]
+        assert (out[k]["n_chars"], out[k]["edited_sha256"]) == (len(texts[k]), hashlib.sha256(edited[k].encode()).hexdigest())
+    # fingerprints by hand: Spark hashes every pair of words of every text, plain Python counts the votes
+    pairs = [(k, which, i, a, b) for which, some in (("own", texts), ("edited", edited)) for k, t in some.items() for w in [split_words(t)] for i, (a, b) in enumerate(zip(w, [*w[1:], None][: len(w)], strict=True))]
+    hashed = spark.createDataFrame(pairs, "k long, which string, i int, a string, b string").select("k", "which", F.xxhash64("a", "b").alias("h"), F.xxhash64(F.xxhash64("a", "b")).alias("g")).collect()
+    votes_of = {}
+    for r in hashed:
+        votes_of.setdefault((r["which"], r["k"]), []).append((r["h"] % 2**64, r["g"] % 2**64))
+    bits = lambda h: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    prints = {key: "".join(f"{bits(x):016x}" for x in zip(*v, strict=True)) for key, v in votes_of.items()}
+    none = "0" * 32
+    like = lambda a, b: 1 - (int(a, 16) ^ int(b, 16)).bit_count() / 128
+    distinct = {prints.get(("own", k), none) for k in texts}
+    for k, nxt in zip(order, [*order[1:], order[0]], strict=True):
+        own, other, behind = prints.get(("own", k), none), prints.get(("edited", k), none), prints.get(("own", nxt), none)
+        assert (out[k]["fingerprint"], out[k]["edited_fingerprint"]) == (own, other)
+        assert math.isclose(out[k]["near_edited"], like(own, other)) and math.isclose(out[k]["near_next"], like(own, behind))
+        assert out[k]["n_near"] == (sum(0 < (int(own, 16) ^ int(x, 16)).bit_count() <= fingerprints.RADIUS for x in distinct) if k % 50 == 0 else None)
+
+
+@pytest.mark.parametrize("number, modulus, remainder", [(3, 5, 0), (9, 4, 2)])
+def test_queries_3_and_9(spark, tables, rows, number, modulus, remainder, tmp_path):
+    df = run(spark, tables, number)
+    assert df.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and [t for _, t in df.dtypes[:4]] == ["bigint", "boolean", "double", "int"]
+    out = got(df)
+    assert len(out) == len(rows)
+    for k, r in out.items():
+        assert r["held_out"] == (crc(k, modulus) == remainder) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3)
+    # labels of held-out rows, and any row's language, source and id, tell nothing
+    import shutil
+
+    shutil.copytree(tables, tmp_path / "t")
+    shutil.rmtree(tmp_path / "t" / "labels.parquet")
+    labels = spark.read.parquet(f"{tables}/labels.parquet")
+    held = lm.held_out("doc_id", modulus, remainder)
+    labels.select("doc_id", *(F.when(held, 1 - F.col(c)).otherwise(F.col(c)).alias(c) for c in ("quality", "toxic"))).write.parquet(str(tmp_path / "t" / "labels.parquet"))
+    assert {k: r["score"] for k, r in got(run(spark, str(tmp_path / "t"), number)).items()} == {k: r["score"] for k, r in out.items()}
+
+
+def test_query_4(spark, tables, rows):
+    df = run(spark, tables, 4)
+    assert df.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    seen, out = {}, got(df)
+    for k, t, *_ in sorted(rows):
+        data = (t or "").encode()
+        for i in range(len(data) - 99):
+            seen.setdefault(data[i : i + 100], (k, i))
+    for k, t, *_ in rows:
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for i in range(len(data) - 99):
+            if seen[data[i : i + 100]] != (k, i):
+                gone[i : i + 100] = b"\x01" * 100
+        runs = len(re.findall(b"\x01+", bytes(gone)))
+        assert (out[k]["n_bytes"], out[k]["n_removed"], out[k]["n_spans"], out[k]["kept_sha256"]) == (len(data), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(data, gone, strict=True) if not g)).hexdigest())
+
+
+def test_query_5(spark, tables, rows):
+    df = run(spark, tables, 5)
+    assert df.columns == ["doc_id", "fingerprint", "component_id"]
+    prints = {k: fingerprint(t) for k, t, *_ in rows}
+    want = classes_by_hand(prints)
+    assert {k: (r["fingerprint"], r["component_id"]) for k, r in got(df).items()} == {k: (f"{prints[k]:016x}", want[k]) for k in prints}
+
+
+def test_queries_6_and_8(spark, tables, rows):
+    t, ids = reference(rows)
+    six, eight = run(spark, tables, 6), run(spark, tables, 8)
+    assert six.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and eight.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert {k: r["ids_sha256"] for k, r in got(six).items()} == {k: hashlib.sha256(array("I", i).tobytes()).hexdigest() for k, i in ids.items()}
+    assert {k: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for k, r in got(eight).items()} == {k: (len((x or "").encode()), len(ids[k]), len(ids[k]) > 1024) for k, x, *_ in rows}
+
+
+def test_query_7(spark, tables):
+    df = run(spark, tables, 7)
+    assert df.columns == ["query_id", "rank", "vec_id", "score"] and [t for _, t in df.dtypes] == ["bigint", "int", "bigint", "bigint"]
+    some = {r["vec_id"]: [math.floor(64 * float(x)) for x in r["embedding"]] for r in spark.read.parquet(f"{tables}/embeddings.parquet").collect() if r["embedding"] and all(map(math.isfinite, r["embedding"]))}
+    want = {(q, i + 1, c, -s) for q in some if q % 20 == 0 for i, (s, c) in enumerate(sorted((-sum(a * b for a, b in zip(some[q], v, strict=True)), c) for c, v in some.items() if c != q)[:20])}
+    assert {tuple(r) for r in df.collect()} == want
+
+
+# odd tables
+
+
+def test_columns_that_clash_and_a_very_long_text(spark):
+    """Columns named as the operators' own, and a document of 3 MB."""
+    rnd = random.Random(9)
+    long = " ".join(f"w{rnd.randrange(4000)}" for _ in range(500_000))
+    assert len(long) > 2_500_000
+    some = [(1, long), (2, long + " end"), (3, LINE), (4, LINE), (5, None), (6, "")]
+    names = ["full", "whole", "upto", "mix_tokens", "mix_source", "mix_key", "mix_block", "toxicity_score", "near_copy_hash", "near_copy_place", "dedup_doc", "dedup_text", "left", "key", "node", "hash", "row", "segment"]
+    df = spark.createDataFrame(some, "doc_id long, text string").select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"), *(F.lit(f"own {n}").alias(n) for n in names))
+    ours = lambda out: all(r[n] == f"own {n}" for r in out.select(*names).collect() for n in names)
+    mixed = mixing.mix(df, repeats=1.5, budget_share=None)
+    assert mixed.columns[: len(df.columns)] == df.columns and mixed.count() == 6 and ours(mixed)
+    scored = toxicity.scored(df, toxicity.fit([("you idiot " * 3, 1), ("a fine day", 0)]), "tox")
+    assert scored.columns == [*df.columns, "tox"] and ours(scored)
+    with pytest.raises(ValueError):
+        toxicity.scored(df, toxicity.fit([]))
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [1, 3, 5] and ours(kept)
+    rest = suffix_dedup.dedup(df)
+    left = {r["doc_id"]: r["text"] or "" for r in rest.collect()}
+    assert rest.columns == df.columns and ours(rest) and left[1] == long and left[2].endswith(" end") and len(left[2]) < 110 and left[3] == LINE and left[4] == ""
+    few = df.select("doc_id", "text", "key", "node", "hash", "row", "segment")
+    assert got(simhash_dedup.classes(few))[2]["component_id"] == 1
+    assert got(fst_count.token_counts(few, queries.vocabulary()))[1]["n_tokens"] == got(bpe_reuse.digest(few, queries.vocabulary()))[1]["n_tokens"]
+    assert got(lm.score(few, lm.fit(few)))[1]["n_tokens"] == 500_001
+    assert fingerprints.compare(few).count() == 6
+
+
+def test_near_copies_match_brute_force(spark):
+    """Groups by five-word shingles at 0.8, over edits of all sizes, copies that only share a passage, and short texts."""
+    rnd = random.Random(12)
+    word = lambda: f"v{rnd.randrange(3000)}"
+    texts = []
+    for _ in range(25):
+        base = [word() for _ in range(rnd.choice((6, 12, 40, 150)))]
+        for _ in range(4):
+            w = list(base)
+            for _ in range(rnd.randrange(0, 1 + len(w) // 12)):
+                w[rnd.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    shared = [word() for _ in range(60)]
+    texts += [" ".join(shared + [word() for _ in range(50)]) for _ in range(30)] + ["a b", "A  b", "", None, "a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in map(words, texts)]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == sorted({find(k) for k in range(len(texts))})
+
+
+def test_cells_of_many_texts_are_dealt_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    rnd = random.Random(13)
+    shared = [f"s{k}" for k in range(300)]
+    texts = [" ".join(shared[: 200 + 4 * k] + [f"x{k}y{i}" for i in range(100)]) for k in range(24)]
+    texts += [t + " more" for t in texts[3:20]]
+    rnd.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = {}
+    for k, t in enumerate(texts):
+        names.setdefault(t.removesuffix(" more"), k)
+    assert sorted(r["doc_id"] for r in near_copies.keep_one(df).collect()) == sorted(names.values())
+
+
+def test_unreachable_targets_of_mixing(spark):
+    even = spark.createDataFrame([(k, "w " * 10, f"s{k % 4}") for k in range(400)], "doc_id long, text string, source string")
+    assert Counter(r["source"] for r in mixing.mix(even, entropy=0.9).collect()) == {f"s{k}": 100 for k in range(4)}
+    nearly = spark.createDataFrame([(k, "w " * (100 if k % 4 else 101), f"s{k % 4}") for k in range(400)], "doc_id long, text string, source string")
+    by = mixing.shares(nearly.select("source", mixing.n_tokens(F.col("text")).alias("n_tokens")))
+    a = mixing.exponent(by, entropy=0.97, budget_share=1.0)
+    assert a > 8
+    share = [100 * 101 / (100 * 401), *[100 * 100 / (100 * 401)] * 3]
+    w = [(x / max(share)) ** a for x in share]
+    assert math.isclose(-sum(x / sum(w) * math.log(x / sum(w)) for x in w) / math.log(4), 0.97, abs_tol=1e-4)
