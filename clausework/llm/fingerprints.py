@@ -104,27 +104,44 @@ def compare(docs: DataFrame) -> DataFrame:
     prints = stored(prints.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", "fingerprint", "edited_fingerprint", like("fingerprint", "edited_fingerprint").alias("near_edited"), like("fingerprint", "next").alias("near_next")), "fingerprints")
     asks = F.coalesce(F.col("doc_id") % ASKED == 0, F.lit(False))
     found = near(prints, prints.filter(asks), RADIUS, BLOCKS).filter("distance > 0").groupBy("query").agg(F.count("*").alias("n"))
-    some = prints.filter(asks).join(found, F.col("fingerprint") == F.col("query"), "left").select(*prints.columns, F.coalesce("n", F.lit(0)).alias("n_near"))
+    some = prints.filter(asks).join(found.hint("merge"), F.col("fingerprint") == F.col("query"), "left").select(*prints.columns, F.coalesce("n", F.lit(0)).alias("n_near"))
     return prints.filter(~asks).withColumn("n_near", F.lit(None).cast("long")).unionByName(some)
 
 
-def tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """Distinct fingerprints with a row for each permuted table: table, key (the blocks that must agree), fingerprint."""
-    bits = 64 * len(PLANES) // 4  # in hexadecimal digits
+def _words(prints: DataFrame) -> DataFrame:
+    """The distinct fingerprints as 64-bit words w0, w1, ..."""
+    return prints.select(*(votes.as_long(F.substring("fingerprint", 16 * k + 1, 16)).alias(f"w{k}") for k in range(len(PLANES)))).distinct()
+
+
+def _digits(names: list[str]) -> Column:
+    return F.lower(F.concat(*(F.lpad(F.hex(n), 16, "0") for n in names)))
+
+
+def tables(words: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Distinct fingerprints with a row for each permuted table: key (a hash of the table and the blocks that must agree), and the words."""
+    bits, names = 64 * len(PLANES), words.columns
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-    block = lambda i: F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i])
-    keys = [F.struct(F.lit(t).alias("table"), F.concat(*map(block, chosen)).alias("key")) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
-    return prints.select("fingerprint", F.explode(F.array(*keys)).alias("k")).select("k.table", "k.key", "fingerprint")
+
+    def masked(chosen: tuple[int, ...], k: int) -> Column:
+        """The word's bits that belong to the chosen blocks."""
+        keep = sum(1 << (b % 64) for i in chosen for b in range(edges[i], edges[i + 1]) if b // 64 == k)
+        return F.col(names[k]).bitwiseAND(F.lit(keep - (1 << 64) if keep >> 63 else keep))
+
+    keys = [F.xxhash64(F.lit(t), *(masked(chosen, k) for k in range(len(names)))) for t, chosen in enumerate(combinations(range(blocks), blocks - radius))]
+    return words.select(*names, F.explode(F.array(*keys)).alias("key"))
 
 
 def near(prints: DataFrame, queries: DataFrame, radius: int = 3, blocks: int = 6) -> DataFrame:
     """All pairs (query, fingerprint, distance) of a distinct query fingerprint and a distinct one of prints within the radius.
 
-    Both have a column fingerprint. A pair that meets in several tables comes once.
+    Both have a column fingerprint. A pair that meets in several tables comes once; both sides are dealt out by the tables' keys,
+    a common key's rows by parts of them.
     """
     if blocks <= radius:
         raise ValueError("there must be more blocks than the radius")
-    every, asked = prints.select("fingerprint").distinct(), queries.select("fingerprint").distinct()
-    pairs = tables(asked, radius, blocks).withColumnRenamed("fingerprint", "query").join(tables(every, radius, blocks), ["table", "key"])
-    distance = votes.differing(F.col("query"), F.col("fingerprint"), len(PLANES))
-    return pairs.select("query", "fingerprint", distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    every, asked = _words(prints), _words(queries)
+    names, theirs = every.columns, [f"q{k}" for k in range(len(every.columns))]
+    asked = tables(asked, radius, blocks).toDF(*theirs, "key")
+    distance = sum((F.bit_count(F.col(q).bitwiseXOR(F.col(w))) for q, w in zip(theirs[1:], names[1:], strict=True)), F.bit_count(F.col(theirs[0]).bitwiseXOR(F.col(names[0]))))
+    pairs = tables(every, radius, blocks).join(asked.hint("merge"), "key").select(*theirs, *names, distance.alias("distance")).filter(F.col("distance") <= radius).distinct()
+    return pairs.select(_digits(theirs).alias("query"), _digits(names).alias("fingerprint"), "distance")

@@ -39,7 +39,7 @@ from .lm import _pack, _unpack
 WIDTH, GRAM = 100, 32
 STARTS = WIDTH - GRAM + 1
 #: Bytes that numpy looks at together, bytes of text to a bucket, kinds of stretches of one anchor, ranges of a hot one.
-SLICE, BUCKET_BYTES, HOT, PARTS = 1 << 19, 12 << 20, 4_096, 8
+SLICE, BUCKET_BYTES, HOT, PARTS = 1 << 19, 32 << 20, 4_096, 8
 #: Anchors that a mapper puts together before it sends them.
 HELD = 1 << 19
 #: Bytes that are put together at a time.
