@@ -1,9 +1,14 @@
-"""Edits of trees as pure functions: split, merge and renumber."""
+"""Edits of trees: split, merge and renumber, as pure functions and for each row of a DataFrame."""
 
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import reader
 
@@ -105,3 +110,29 @@ def signature(article: dict, deep: bool = False) -> tuple:
     """What an article is made of: numbers of items of each paragraph, and below."""
     subs = lambda s: len(s.get("sub_items2") or []) if deep else 0
     return tuple(tuple(tuple(subs(s) for s in it.get("sub_items") or []) for it in p.get("items") or []) for p in article["paragraphs"])
+
+
+def edit(trees: DataFrame, how: Callable[..., list[dict]], *places: str) -> DataFrame:
+    """trees (tree as JSON, further columns) with tree edited by how(tree, *places), places being columns; a tree that can't be edited so stays."""
+
+    @F.pandas_udf("string")
+    def edited(tree: pd.Series, *at: pd.Series) -> pd.Series:
+        def one(text: str, *k: int) -> str:
+            try:
+                return json.dumps(how(json.loads(text), *map(int, k)), ensure_ascii=False)
+            except (ValueError, IndexError):
+                return text
+
+        return pd.Series([one(*row) for row in zip(tree, *at, strict=True)])
+
+    return trees.withColumn("tree", edited("tree", *places))
+
+
+def splits(trees: DataFrame, place: str = "place", paragraph: str = "paragraph") -> DataFrame:
+    """Each tree with its article at `place` split before its `paragraph`."""
+    return edit(trees, split_article, place, paragraph)
+
+
+def merges(trees: DataFrame, place: str = "place") -> DataFrame:
+    """Each tree with its article at `place` merged with the one behind it."""
+    return edit(trees, merge_articles, place)

@@ -872,34 +872,38 @@ def typed_toc(lines: list[str]) -> set[int]:
     return sure
 
 
-def split_matter(lines: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """Front matter, body and back matter of a document's lines; page numbers inside the body are left out."""
+def split_matter(rows: list[tuple[str, str]]) -> tuple[list[str], list[tuple[str, str]], list[str]]:
+    """Front matter, body and back matter of a document's rows (kind, text), of which the body keeps its kinds; page numbers inside the body are left out.
+
+    A kind is "text", or what style or numbering says; a chapter or article by that begins the body as one by its text does.
+    """
     front: list[str] = []
-    body: list[str] = []
-    for i, text in enumerate(lines):
+    body: list[tuple[str, str]] = []
+    for i, (kind, text) in enumerate(rows):
         line, s = look(text), text.strip()
         if not body:
-            if line.chapter or line.article:
+            if line.chapter or line.article or (s and kind in ("chapter", "article")):
                 if front and (t := look(front[-1])).title and not is_note(t.title[1]):
-                    body.append(front.pop())
-                body.append(text)
+                    body.append(("text", front.pop()))
+                body.append((kind, text))
             elif s:
                 front.append(text)
             continue
-        if (m := _STOP.match(s)) is not None and not (mid_sentence(Unit.of(look(body[-1])), True) and _RE["STOP_WORD_AS_REFERENCE"].match(s[m.end() :])):
-            return front, body, [x for x in lines[i:] if x.strip()]
+        if (m := _STOP.match(s)) is not None and not (mid_sentence(Unit.of(look(body[-1][1])), True) and _RE["STOP_WORD_AS_REFERENCE"].match(s[m.end() :])):
+            return front, body, [x for _, x in rows[i:] if x.strip()]
         if _RE["APPENDIX"].match(s):
-            return front, body, [x for x in lines[i:] if x.strip()]
+            return front, body, [x for _, x in rows[i:] if x.strip()]
         if s and not _RE["PAGE_NUMBER"].match(s):
-            body.append(text)
+            body.append((kind, text))
     return front, body, []
 
 
-def read(lines: list[str]) -> list[dict]:
-    """The tree of a document given as lines."""
+def read(lines: list[str], kinds: list[str | None] | None = None) -> list[dict]:
+    """The tree of a document given as lines; kinds: what style or numbering says of each, where it says anything."""
     toc = typed_toc(lines)
-    front, body, back = split_matter([x for i, line in enumerate(lines) if i not in toc for x in line.split("\n")])
-    tree = nest(flat_nodes([("text", x) for x in body]))
+    rows = [(kind or "text", x) for i, (line, kind) in enumerate(zip(lines, kinds or [None] * len(lines), strict=True)) if i not in toc for x in line.split("\n")]
+    front, body, back = split_matter(rows)
+    tree = nest(flat_nodes([("text", x) if kind == "text" else ("auto", (kind, x)) for kind, x in body]))
     if front:
         suspects = [suspected(look(x).s) for x in front if look(x).loose]
         tree.insert(0, {"type": "front_matter", "texts": front} | ({"_article_hint": suspects} if suspects else {}))

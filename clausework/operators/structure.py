@@ -61,27 +61,30 @@ def contents_lines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def _per_document(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]).alias("lines"))
+    """Each document's lines in order, and their kinds where rows have any."""
+    kind = F.col("kind") if "kind" in rows.columns else F.lit(None).cast("string")
+    listed = rows.select(key, F.struct("pos", "line", kind.alias("kind")).alias("r")).groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return listed.select(key, F.transform("r", lambda x: x["line"]).alias("lines"), F.transform("r", lambda x: x["kind"]).alias("kinds"))
 
 
 def read(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, tree (JSON): each document's lines (key, pos, line) read into a tree, one array of lines a row."""
+    """key, tree (JSON): each document's lines (key, pos, line, and kind where style or numbering gives it) read into a tree, one array of lines a row."""
 
     @F.pandas_udf("string")
-    def trees(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: json.dumps(reader.read(list(x)), ensure_ascii=False))
+    def trees(lines: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(reader.read(list(x), list(k)), ensure_ascii=False) for x, k in zip(lines, kinds, strict=True)])
 
-    return _per_document(rows, key).select(key, trees("lines").alias("tree"))
+    return _per_document(rows, key).select(key, trees("lines", "kinds").alias("tree"))
 
 
 def outlines(rows: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, row_no, text: each document's tree as indented lines."""
+    """key, row_no, text: each document's tree as indented lines; rows as read() takes them."""
 
     @F.pandas_udf("array<string>")
-    def outline(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda x: reader.outline(reader.read(list(x))))
+    def outline(lines: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([reader.outline(reader.read(list(x), list(k))) for x, k in zip(lines, kinds, strict=True)])
 
-    return _per_document(rows, key).select(key, F.posexplode(outline("lines")).alias("row_no", "text"))
+    return _per_document(rows, key).select(key, F.posexplode(outline("lines", "kinds")).alias("row_no", "text"))
 
 
 def merged_units(rows: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -69,11 +69,12 @@ def attributed(rows: DataFrame, base: DataFrame, edited: DataFrame, key: str = "
     nothing in edited holds the row's text.
     """
     gone = base.select(key, "norm").distinct().join(edited.select(key, "norm").distinct(), [key, "norm"], "left_anti").groupBy(key).agg(F.collect_set("norm").alias("gone"))
-    left = edited.groupBy(key).agg(F.collect_set("norm").alias("left"))
+    joined = lambda c: F.array_join(c, "\x00")  # noqa: E731  one search in all texts; none holds the separator
+    gone = gone.withColumn("gone_text", joined("gone")).withColumn("gone_long", F.filter("gone", lambda g: F.length(g) >= LEAST_PART))
+    left = edited.groupBy(key).agg(joined(F.collect_set("norm")).alias("left"))
     df = rows.join(gone, key, "left").join(left, key, "left")
-    size = lambda c: F.length(c) >= LEAST_PART
-    hit = F.exists("gone", lambda g: (g == F.col("norm")) | (size(F.col("norm")) & F.contains(g, F.col("norm"))) | (size(g) & F.contains(F.col("norm"), g)))
-    kept = F.exists("left", lambda x: F.contains(x, F.col("norm")))
+    hit = F.array_contains("gone", F.col("norm")) | ((F.length("norm") >= LEAST_PART) & F.contains("gone_text", "norm")) | F.exists("gone_long", lambda g: F.contains("norm", g))
+    kept = F.contains("left", "norm")
     return df.withColumn("by_edit", F.coalesce(hit, F.lit(False)) & ~F.coalesce(kept, F.lit(False))).select(*rows.columns, "by_edit")
 
 

@@ -40,11 +40,24 @@ def blocks(body: ET.Element) -> Iterator[ET.Element]:
             yield from blocks(e.find(f"{W}sdtContent") if e.tag == f"{W}sdt" and e.find(f"{W}sdtContent") is not None else e)
 
 
+# Kinds of paragraphs by what a style's name begins with; the longest that fits counts.
+STYLE_KINDS = {
+    "02-": "chapter", "03-": "article", "04-1": "paragraph", "04-": "paragraph", "04-2": "paragraph", "05-": "paragraph", "05-1": "item", "06-1": "item_sub",
+    "06-10": "item_sub", "07-1": "item_sub", "06-": "item_sub", "07-": "item_sub", "07-0": "item_sub2", "08-": "item_sub2", "00-": "body_plain",
+}
+# End of the fixed values.
+
+
+def style_kind(name: str | None) -> str | None:
+    """The kind that a style's name gives; none for other names."""
+    fits = [k for k in STYLE_KINDS if (name or "").startswith(k)]
+    return STYLE_KINDS[max(fits, key=len)] if fits else None
+
+
 def auto_kind(fmt: str, text: str, style: str) -> str:
     """What a numbering level's paragraphs are: by a numbered style, the level's text, else its format."""
-    by_style = {"02": "chapter", "03": "article", "04": "paragraph", "05": "item", "06": "item", "07": "item_sub"}
-    if style[:2] in by_style and style[2:3] == "-":
-        return by_style[style[:2]]
+    if (kind := style_kind(style)) is not None:
+        return kind
     if "章" in text or "条" in text:
         return "chapter" if "章" in text else "article"
     if "Circle" in fmt or any(a in text and b in text for a, b in ("（）", "()")):
@@ -74,6 +87,8 @@ class Package:
             number = self.val(holder, f"{W}numPr/{W}numId")
             if number and number != "0":
                 return style, name, self.numbers.get(number, {}).get(self.val(holder, f"{W}numPr/{W}ilvl") or "0")
+        if (kind := style_kind(name)) is not None:
+            return style, name, kind
         if name and name.lower().startswith("list "):
             return style, name, "item" if "bullet" in name.lower() else "list_number"
         return style, name, None
@@ -134,9 +149,9 @@ def fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(blocks: DataFrame) -> DataFrame:
-    """path, pos, line of what is read as text: paragraphs outside a table of contents, cut at soft breaks."""
-    rows = blocks.filter("kind = 'paragraph' and not toc").select("path", "block_idx", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    return rows.select("path", (F.col("block_idx").cast("long") * 100_000 + F.col("k")).alias("pos"), "line")
+    """path, pos, line, kind of what is read as text: paragraphs outside a table of contents, cut at soft breaks; kind is what style or numbering says."""
+    rows = blocks.filter("kind = 'paragraph' and not toc").select("path", "block_idx", F.col("auto_kind").alias("kind"), F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    return rows.select("path", (F.col("block_idx").cast("long") * 100_000 + F.col("k")).alias("pos"), "line", "kind")
 
 
 def layout(text, aligned):
