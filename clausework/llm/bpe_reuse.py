@@ -30,7 +30,7 @@ from . import common as C
 #: Bytes in a chunk on average, and of chunks that a worker keeps.
 CHUNK_BYTES, CACHE_BYTES = 1024, 24 << 20
 #: Short pieces between safe places that a worker keeps.
-PIECES = 100_000
+PIECES = 200_000
 _WINDOW = 16
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _UNSAFE = re.compile(r" \s|\s ")
