@@ -1,7 +1,7 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A text is cut where a rolling hash of its last bytes says so, so passages that documents share are cut alike. Each
-distinct chunk is encoded once for as long as a worker holds it, whatever document it comes from. A cut can fall inside
+distinct chunk is encoded once for as long as a task holds it, whatever document it comes from. A cut can fall inside
 a token: so the stretch around each join is encoded again, together with a piece of either neighbour's that is encoded
 already. Where its tokens begin and end with exactly those of the two pieces, what lies between stands; else the stretch
 grows to the whole text. Pieces lie between safe places, where the
@@ -14,6 +14,7 @@ special strings in a text become their ids, as the library's defaults have it; i
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import re
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from . import common as C
 
-#: Bytes in a chunk on average, and of chunks that a worker keeps.
+#: Bytes in a chunk on average, and of chunks that a task keeps.
 CHUNK_BYTES, CACHE_BYTES = 1024, 24 << 20
 #: Short pieces between safe places that a worker keeps.
 PIECES = 200_000
@@ -197,11 +198,17 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def codec(path: str) -> Codec:
-    """The process's codec for a file; its chunks are kept from task to task."""
+@contextlib.contextmanager
+def codec(path: str) -> Iterator[Codec]:
+    """The process's codec for a file; its tables and short pieces are kept from task to task, its chunks are not."""
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    c = _CODECS[path]
+    try:
+        yield c
+    finally:
+        c.cache.clear()
+        c.held = 0
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -209,13 +216,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                ids = [c.encode(t or "") for t in batch.column(1).slice(i, 256).to_pylist()]
-                flat = np.concatenate(ids).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), lists, pa.array([c.decode(x) for x in ids])], [key, "ids", "text"])
+        with codec(path) as c:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    ids = [c.encode(t or "") for t in batch.column(1).slice(i, 256).to_pylist()]
+                    flat = np.concatenate(ids).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 256), lists, pa.array([c.decode(x) for x in ids])], [key, "ids", "text"])
 
     return docs.select(key, "text").mapInArrow(C.trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, text string")
 
@@ -225,14 +232,14 @@ def digest(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     C.bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                ids = c.encode(text.as_py() or "")
-                rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
-            n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with codec(path) as c:
+            for batch in batches:
+                rows = []
+                for text in batch.column(1):
+                    ids = c.encode(text.as_py() or "")
+                    rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()))
+                n, i, d = zip(*rows, strict=True) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(i, pa.string()), pa.array(d, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, "text").mapInArrow(C.trimmed(run), f"{key} {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
