@@ -27,6 +27,16 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders)"
 
 
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items, one for each number of an order."""
+    columns = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in columns))
+
+
+#: The same in SQL.
+ITEMS = "(SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, max(l_linestatus) AS l_linestatus FROM lineitem GROUP BY ALL)"
+
+
 def pick_sql(n: str, *values: str) -> str:
     quoted = ", ".join("'" + v + "'" for v in values)
     return f"[{quoted}][CAST({n} AS BIGINT) % {len(values)} + 1]"
