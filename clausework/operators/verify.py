@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..sources.shared import written
+from . import containment
 
 # Signs before a text that don't count.
 _SIGNS = re.compile("^[\\s　]*[①-⑳㉑-㉟㊱-㊿ⓐ-ⓩⅰ-ⅹⅠ-Ⅹ]+[\\s　]*")
@@ -44,10 +46,19 @@ def sentences(rows: DataFrame, text: str = "line") -> DataFrame:
 
 
 def absent(rows: DataFrame, others: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows (key, pos, norm) whose text is nowhere in the other side's texts put together. Equal texts are settled by a join first."""
-    whole = others.groupBy(key).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"])).alias("whole"))
-    rest = rows.join(others.select(key, "norm").distinct(), [key, "norm"], "left_anti")
-    return rest.join(whole, key, "left").filter(~F.coalesce(F.contains("whole", "norm"), F.lit(False))).select(*rows.columns)
+    """Rows (key, pos, norm) whose text is nowhere in the other side's texts put together; an empty text is missing nowhere. Equal texts are settled by a join, the others by an index of grams."""
+    rest = rows.filter("norm <> ''").join(others.select(key, "norm").distinct(), [key, "norm"], "left_anti")
+    big = containment.large(others.select(key, F.col("norm").alias("text")), key)
+
+    def direct(rest: DataFrame, others: DataFrame) -> DataFrame:
+        whole = others.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]), "").alias("whole"))
+        return rest.join(whole, key, "left").filter(~F.coalesce(F.contains("whole", "norm"), F.lit(False))).select(*rows.columns)
+
+    if big.isEmpty():
+        return direct(rest, others)
+    far = written(rest.join(big, key, "left_semi").withColumn("pid", containment.named(F.col("norm"))), "absent")
+    found = containment.indexed(far.select(key, "pid", "norm").distinct(), containment.joined(others.join(big, key, "left_semi"), key), key).select(key, "pid").distinct()
+    return direct(rest.join(big, key, "left_anti"), others.join(big, key, "left_anti")).unionByName(far.join(found, [key, "pid"], "left_anti").select(*rows.columns))
 
 
 def repeated(src: DataFrame, out: DataFrame, key: str = "doc_id", least: int = LEAST_PART) -> DataFrame:
@@ -68,14 +79,32 @@ def attributed(rows: DataFrame, base: DataFrame, edited: DataFrame, key: str = "
     It did if a text of base that isn't in edited is the row's, or one holds the other in at least LEAST_PART characters, and
     nothing in edited holds the row's text.
     """
-    gone = base.select(key, "norm").distinct().join(edited.select(key, "norm").distinct(), [key, "norm"], "left_anti").groupBy(key).agg(F.collect_set("norm").alias("gone"))
-    joined = lambda c: F.array_join(c, "\x00")  # noqa: E731  one search in all texts; none holds the separator
-    gone = gone.withColumn("gone_text", joined("gone")).withColumn("gone_long", F.filter("gone", lambda g: F.length(g) >= LEAST_PART))
-    left = edited.groupBy(key).agg(joined(F.collect_set("norm")).alias("left"))
-    df = rows.join(gone, key, "left").join(left, key, "left")
-    hit = F.array_contains("gone", F.col("norm")) | ((F.length("norm") >= LEAST_PART) & F.contains("gone_text", "norm")) | F.exists("gone_long", lambda g: F.contains("norm", g))
-    kept = F.contains("left", "norm")
-    return df.withColumn("by_edit", F.coalesce(hit, F.lit(False)) & ~F.coalesce(kept, F.lit(False))).select(*rows.columns, "by_edit")
+    gone = written(base.select(key, "norm").distinct().join(edited.select(key, "norm").distinct(), [key, "norm"], "left_anti"), "gone")
+    mine = written(containment.patterns(rows, key), "missing")
+    equal = mine.join(gone, [key, "norm"], "left_semi").select(key, "pid")
+    inside = containment.find(mine.filter(F.length("norm") >= LEAST_PART), containment.each(gone, key), key).select(key, "pid")
+    around = containment.find(containment.patterns(gone, key, LEAST_PART), containment.each(rows, key), key).select(key, F.col("tid").alias("pid"))
+    kept = containment.find(mine, containment.each(edited, key), key).select(key, "pid").distinct()
+    hit = equal.unionByName(inside).unionByName(around).distinct().join(kept, [key, "pid"], "left_anti").withColumn("by_edit", F.lit(True))
+    return rows.withColumn("pid", containment.named(F.col("norm"))).join(hit, [key, "pid"], "left").select(*rows.columns, F.coalesce("by_edit", F.lit(False)).alias("by_edit"))
+
+
+# Hints begin with an article's number.
+HINT = "^第[　\\s]*[０-９0-9〇一二三四五六七八九十百千万]+[　\\s]*条"
+
+
+def attached(hints: DataFrame, paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, pos, hint: each hint (key, hint) at the first of paragraphs (key, pos, text: a row for each of its units) of which a unit holds it, blanks aside.
+
+    Hints that don't begin with an article's number, and those that no paragraph holds, are dropped; of hints that say the same the shortest is kept.
+    """
+    bare = lambda c: F.regexp_replace(c, "[　\\s]", "")
+    said = hints.select(key, F.regexp_replace("hint", "^[　\\s]+|[　\\s]+$", "").alias("hint")).filter(F.col("hint").rlike(HINT)).withColumn("norm", bare(F.col("hint")))
+    units = paragraphs.select(key, "pos", bare(F.col("text")).alias("norm")).filter("norm <> ''")
+    found = containment.find(containment.patterns(said, key), containment.each(units, key), key)
+    first = found.join(units.select(key, "pos", containment.named(F.col("norm")).alias("tid")), [key, "tid"]).groupBy(key, "pid").agg(F.min("pos").alias("pos"))
+    kept = said.groupBy(key, containment.named(F.col("norm")).alias("pid")).agg(F.min(F.struct(F.length("hint").alias("n"), "hint"))["hint"].alias("hint"))
+    return kept.join(first, [key, "pid"]).select(key, "pos", "hint")
 
 
 def bare_title(c: Column) -> Column:

@@ -163,3 +163,16 @@ def prompt_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.lines(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("target", F.col("line").endswith(".") & (F.col("pos") % 6 == 2))
     return answers.chunks(rows, chars=2000).select("doc_id", "pos", "chunk")
+
+
+@query("""SELECT o_custkey AS doc_id, o_orderkey // 3 * 10 + CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 2 END AS pos, '第' || o_orderkey || '条　番号' || o_orderkey AS hint FROM orders WHERE o_orderkey % 5 < 3""")
+def hint_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints on headings that look like articles, put to the first paragraph of which a unit holds them; some are held by none, some don't begin with an article."""
+    o = table(spark, sf_dir, "orders")
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    head = F.concat(F.lit("第"), text, F.lit("条"))
+    at = F.floor(key / 3) * 10
+    units = F.array(F.struct((at + 3).alias("pos"), F.concat(F.lit("前段。"), head, F.lit("番号"), text, F.lit("は後にも出る。")).alias("text")), F.struct((at + F.when(key % 4 == 0, 1).otherwise(2)).alias("pos"), F.concat(F.lit("前段。\n"), head, F.lit(" 番号"), text, F.lit("を定める。")).alias("text")))
+    paragraphs = o.select(F.col("o_custkey").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.*")
+    said = F.when(key % 5 < 3, F.concat(F.lit("　"), head, F.lit("　番号"), text)).when(key % 5 == 3, F.concat(head, F.lit("未知"))).otherwise(F.concat(F.lit("番号"), text))
+    return V.attached(o.select(F.col("o_custkey").alias("doc_id"), said.alias("hint")), paragraphs)
