@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as X
+from ..sources.shared import written
 
 # Character classes and endings that decide whether a word is a noun.
 KANJI, HIRA, KATA = "一-鿿々", "ぁ-ゖ", "ァ-ヶー"
@@ -158,6 +160,95 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", groups: list
     return docs.select(key, F.explode(scan(text)).alias("s")).select(key, "s.*")
 
 
+Groups = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+@lru_cache(maxsize=4)
+def automaton(groups: Groups) -> object:
+    """An automaton over all forms of all groups; each form leads to its groups and to the pattern of its context in them."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for k, (category, forms) in enumerate(groups):
+        for f in forms:
+            found.add_word(f, (f, [*found.get(f, (f, []))[1], (k, re.compile(_alternative(f, category)))]))
+    if groups:
+        found.make_automaton()
+    return found
+
+
+def _counted(places: dict[int, list[tuple[int, int, str]]]) -> list[tuple[int, str, int]]:
+    """group, form, n of each group's places (start, minus length, form), earlier and longer ones first, none overlapping another."""
+    out = []
+    for k, some in places.items():
+        n, end = Counter(), 0
+        for start, less, form in sorted(some):
+            if start >= end:
+                n[form] += 1
+                end = start - less
+        out += [(k, form, m) for form, m in n.items()]
+    return out
+
+
+def analyze(docs: DataFrame, key: str = "doc_id", text: str = "text", use_dict: bool = True, use_auto: bool = True, extra_groups: Groups = (), exclude_forms: tuple[str, ...] = (), noun_only: bool = True, check_misuse: bool = True, kind: str | None = None) -> DataFrame:
+    """key, category, forms (most frequent first), form, n, correct: groups of spellings of which a document has two or more, and words it misuses.
+
+    docs may have several rows a key. Groups come from the dictionary, from extra_groups and, found in the document itself, from nouns that
+    differ in their kana and katakana words that differ in long vowel marks; of groups with the same forms the first is kept. exclude_forms are never
+    counted. noun_only: nouns used as verbs don't count. correct is the right word for a misused one, else null. One automaton finds the
+    forms of all groups in one pass over a text, which also counts its words; only documents with groups of their own are read again, with these.
+    """
+    given: Groups = tuple((c, kept) for c, forms in (*(dictionary() if use_dict else ()), *extra_groups) if len(kept := tuple(f for f in forms if f not in exclude_forms)) > 1)
+
+    @F.pandas_udf("array<struct<rank:int,form:string,n:long>>")
+    def scan(batch: pd.Series) -> pd.Series:
+        search = automaton(given)
+
+        def one(t: str | None) -> list[tuple[int, str, int]]:
+            t, places = t or "", defaultdict(list)
+            for end, (form, groups) in search.iter(t) if given else ():
+                start = end - len(form) + 1
+                for k, pattern in groups:
+                    if pattern.match(t, start):
+                        places[k].append((start, -len(form), form))
+            words = Counter([m[0] for m in _NOUN.finditer(t) if not (noun_only and verb(t, m[0], m.start()))] + _KATAKANA.findall(t)) if use_auto else {}
+            return [*_counted(places), *((-1, w, n) for w, n in words.items())]
+
+        return batch.map(one)
+
+    counts = written(docs.select(key, F.explode(scan(text)).alias("s")).groupBy(key, "s.rank", "s.form").agg(F.sum("s.n").alias("n")), "forms")
+    names = F.get(F.array(*(F.lit(c) for c, _ in given)), F.col("rank")) if given else F.lit(None).cast("string")
+    found = counts.filter("rank >= 0").select(key, F.col("rank").cast("long").alias("rank"), names.alias("category"), "form", "n")
+    if use_auto:
+        words = counts.filter("rank < 0").select(key, F.col("form").alias("token"), "n").filter(~F.col("token").isin(*exclude_forms) if exclude_forms else F.lit(True))
+        own = okurigana_groups(words, key).select(key, F.lit("送り仮名").alias("category"), "forms").unionByName(katakana_groups(words, key).select(key, F.lit("カタカナ").alias("category"), "forms"))
+
+        @F.pandas_udf("array<struct<at:int,form:string,n:long>>")
+        def again(texts: pd.Series, groups: pd.Series) -> pd.Series:
+            def one(t: str | None, some: list[dict]) -> list[tuple[int, str, int]]:
+                t, places = t or "", defaultdict(list)
+                for k, g in enumerate(some):
+                    for f in g["forms"]:
+                        places[k] += [(m.start(), -len(f), f) for m in re.finditer(f"(?={_alternative(f, g['category'])})", t) if not (noun_only and g["category"] == "送り仮名" and verb(t, f, m.start()))]
+                return _counted(places)
+
+            return pd.Series([one(t, list(g)) for t, g in zip(texts, groups, strict=True)], dtype=object)
+
+        lists = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("category", "forms"))).alias("groups"))
+        more = docs.join(lists, key).select(key, "groups", F.explode(again(text, "groups")).alias("s"))
+        more = more.select(key, (F.col("s.at") + len(given)).cast("long").alias("rank"), F.get("groups", F.col("s.at"))["category"].alias("category"), "s.form", "s.n").groupBy(key, "rank", "category", "form").agg(F.sum("n").alias("n"))
+        found = found.unionByName(more)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "form", "n")))
+    groups = found.groupBy(key, "rank", "category").agg(order.alias("counts"), F.array_sort(F.collect_list("form")).alias("same")).filter(F.size("same") > 1)
+    first = groups.groupBy(key, "same").agg(F.min_by(F.struct("category", "counts"), F.struct(F.col("category") == "カタカナ", "rank")).alias("g"))
+    forms = F.transform("g.counts", lambda x: x["form"])
+    out = first.select(key, "g.category", forms.alias("forms"), F.explode("g.counts").alias("c")).select(key, "category", "forms", "c.form", "c.n", F.lit(None).cast("string").alias("correct"))
+    if check_misuse:
+        wrong = misuses(docs, key, text, kind).groupBy(key, "rule_id", "wrong", "correct").agg(F.sum("n").alias("n"))
+        out = out.unionByName(wrong.select(key, F.lit("用語の誤用").alias("category"), F.array("wrong").alias("forms"), F.col("wrong").alias("form"), "n", "correct"))
+    return out
+
+
 def summary(counts: DataFrame, key: str = "doc_id") -> DataFrame:
     """A line for each group of counts (key, category, group_no, form, n): its forms, most frequent first."""
     forms = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "form", "n")))

@@ -131,3 +131,22 @@ def verify_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences as they are compared: signs and numbers at their front, widths, blanks and half-width brackets make no difference."""
     line = F.concat(pick(F.col("o_orderkey"), "（１）", "２　", "第３条　", "①"), F.lit("受注"), T.wide(F.col("o_orderkey")), F.lit(" をＡＢＣ｢済｣とする。"))
     return V.sentences(table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"))).select("o_orderkey", "norm")
+
+
+#: What a document says besides one group of the dictionary, by the remainders of its number.
+_SAID = [(3, "「役職者」「管理職」「役職者」"), (4, "「サーバー」「サーバ」「サーバー」"), (5, "「データー」「データ」"), (7, "「見積」「見積り」見積る"), (11, "前項の規程による。")]
+
+
+@query(f"""WITH g AS (SELECT unnest({_GROUPS}) AS g, generate_subscripts({_GROUPS}, 1) - 1 AS k),
+e AS (SELECT p_partkey AS doc_id, unnest([{{'m': 3, 'category': '独自', 'forms': ['役職者', '管理職'], 'n': [2, 1]}}, {{'m': 4, 'category': 'カタカナ', 'forms': ['サーバー', 'サーバ'], 'n': [2, 1]}}, {{'m': 7, 'category': '送り仮名', 'forms': ['見積', '見積り'], 'n': [1, 1]}}]) AS e FROM part)
+SELECT p_partkey AS doc_id, g.category AS category, array_to_string(list_sort(g.forms), ',') AS forms, unnest(g.forms) AS form, 1::BIGINT AS n, NULL AS correct FROM part JOIN g ON p_partkey % {len(variants.dictionary())} = k
+UNION ALL SELECT doc_id, e.category, array_to_string(e.forms, ','), unnest(e.forms), unnest(e.n), NULL FROM e WHERE doc_id % e.m = 0
+UNION ALL SELECT p_partkey, '用語の誤用', '規程', '規程', 1, '規定' FROM part WHERE p_partkey % 11 = 0""")
+def variant_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings by the dictionary, by groups of one's own (one of which is in the dictionary), by what documents say themselves, less an excluded form; and misuses."""
+    quoted = ["と".join(f"「{f}」" for f in forms) for _, forms in variants.dictionary()]
+    k = F.col("p_partkey")
+    text = F.concat(pick(k, *quoted), *(F.when(k % m == 0, F.lit(t)).otherwise("") for m, t in _SAID))
+    docs = table(spark, sf_dir, "part").select(k.alias("doc_id"), text.alias("text"))
+    out = variants.analyze(docs, extra_groups=(("独自", ("役職者", "管理職")), ("重複", variants.dictionary()[0][1])), exclude_forms=("データー",))
+    return out.withColumn("forms", F.array_join("forms", ","))
