@@ -120,27 +120,17 @@ def check(found: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFram
 def rewrite(rows: DataFrame, before: DataFrame, after: DataFrame, key: str = "doc_id", text: str = "body") -> DataFrame:
     """rows with `rewritten`: references get the numbers of their articles in `after` (key, rid, number); what has none is marked DEAD, and counted in `missing`.
 
-    before: keys() of the tree in whose numbers the text is written. Two joins give each reference its new number; the text is put together from them.
+    before: keys() of the tree in whose numbers the text is written. Each reference is a row, and two equi-joins give it its article and
+    the article's new number; a text gets only its own references back. Equal texts of a document are rewritten once.
     """
-    to = before.join(after.select(key, "rid", F.col("number").alias("new")), [key, "rid"], "left").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("-", "article", "branch"), F.coalesce("new", F.lit(0))))).alias("to"))
-
-    @F.pandas_udf("struct<rewritten:string,missing:array<string>>")
-    def put(texts: pd.Series, maps: pd.Series) -> pd.DataFrame:
-        def one(t: str | None, m) -> tuple[str | None, list[str]]:
-            if not t:
-                return t, []
-            m, out, at, missing = dict(m if m is not None else {}), "", 0, []
-            for _, a, b, ref, article, branch, external, dead, _, _ in scan(t):
-                if external or dead:
-                    continue
-                n = m.get(f"{article}-{branch}", 0)
-                if not n:
-                    missing.append(ref)
-                out += t[at:a] + (f"第{write_number(int(n), _RE['ref'].match(ref)[1])}条" if n else ref + DEAD)
-                at = b
-            return out + t[at:], missing
-
-        return pd.DataFrame([one(t, m) for t, m in zip(texts, maps, strict=True)], columns=["rewritten", "missing"])
-
-    out = rows.join(to, key, "left").withColumn("p", put(F.col(text), F.col("to")))
-    return out.select(*rows.columns, "p.rewritten", "p.missing")
+    name = F.md5(text)
+    found = find(rows.filter(F.col(text).contains("条")).select(key, text).distinct(), text).filter("not external and not dead")
+    to = found.select(key, name.alias("of_text"), "start", "end", "ref", "article", "branch").join(before.select(key, "article", "branch", "rid"), [key, "article", "branch"], "left").join(after.select(key, "rid", F.col("number").alias("new")), [key, "rid"], "left")
+    there = F.coalesce(F.col("new") > 0, F.lit(False))
+    put = F.when(there, F.concat(F.lit("第"), T.same_script(F.col("new"), F.regexp_extract("ref", REFERENCE, 1)), F.lit("条"))).otherwise(F.concat("ref", F.lit(DEAD)))
+    own = to.select(key, "of_text", F.struct("start", "end", put.alias("put"), F.when(~there, F.col("ref")).alias("missing")).alias("r")).groupBy(key, "of_text").agg(F.array_sort(F.collect_list("r")).alias("refs"))
+    out = rows.withColumn("of_text", name).join(own, [key, "of_text"], "left")
+    kept = lambda done, r: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, r["start"] - done["at"]), r["put"])
+    whole = F.aggregate("refs", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda done, r: F.struct(kept(done, r).alias("out"), r["end"].alias("at")), lambda done: F.concat(done["out"], F.substring(F.col(text), done["at"] + 1, F.length(text))))
+    missing = F.coalesce(F.filter(F.transform("refs", lambda r: r["missing"]), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    return out.select(*rows.columns, F.coalesce(whole, F.col(text)).alias("rewritten"), missing.alias("missing"))
