@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
-from . import block_queries, change_queries, format_queries, host_queries, shape_queries, structure_queries, text_queries  # noqa: E402, F401
+from . import block_queries, change_queries, format_queries, host_queries, shape_queries, sql_queries, structure_queries, text_queries  # noqa: E402, F401
