@@ -40,3 +40,20 @@ def test_analysis_options(spark):
     assert ("見積", 2) in {r[3:5] for r in rows(noun_only=False)}
     kind = docs.withColumn("kind", F.lit("規則"))
     assert {r[1:] for r in {(r["doc_id"], r["category"], r["form"], r["correct"]) for r in variants.analyze(kind, use_dict=False, use_auto=False, kind="kind").collect()}} == {("用語の誤用", "規程", "規則")}
+
+
+def test_numbers_are_dense_over_all_rows(spark):
+    from clausework.operators import notes
+
+    df = spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 AS v", "id % 3 AS w").repartition(9)
+    got = notes.numbered(df, ["w", "v"]).orderBy("id").collect()
+    assert [r["id"] for r in got] == list(range(5000)) and [(r["w"], r["v"]) for r in got] == sorted((r["w"], r["v"]) for r in got)
+    assert notes.numbered(df.filter("false"), ["v"]).count() == 0
+
+
+def test_comments_of_empty_and_outside_spans(spark):
+    from clausework.operators import notes
+
+    runs = spark.createDataFrame([(1, 0, 0, "abc"), (1, 0, 1, "def"), (1, 1, 0, "")], "doc_id long, pos long, run int, text string")
+    spans = spark.createDataFrame([(1, 0, 2, 5, "g", "x"), (1, 0, 5, 9, "h", "y"), (1, 0, 7, 9, "i", "z"), (1, 1, 0, 1, "j", "z"), (1, 0, 3, 3, "k", "")], "doc_id long, pos long, start int, end int, group string, surface string")
+    assert sorted(tuple(r) for r in notes.ranges(spans, runs).collect()) == [(0, 1, 0, "g", "x", 1, 2), (1, 1, 0, "h", "y", 3, 3)]
