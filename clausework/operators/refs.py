@@ -121,11 +121,11 @@ def rewrite(rows: DataFrame, before: DataFrame, after: DataFrame, key: str = "do
     """rows with `rewritten`: references get the numbers of their articles in `after` (key, rid, number); what has none is marked DEAD, and counted in `missing`.
 
     before: keys() of the tree in whose numbers the text is written. Each reference is a row, and two equi-joins give it its article and
-    the article's new number; a text gets only its own references back. Equal texts of a document are rewritten once.
+    the article's new number; a text gets only its own references back.
     """
     name = F.md5(text)
-    found = find(rows.filter(F.col(text).contains("条")).select(key, text).distinct(), text).filter("not external and not dead")
-    to = found.select(key, name.alias("of_text"), "start", "end", "ref", "article", "branch").join(before.select(key, "article", "branch", "rid"), [key, "article", "branch"], "left").join(after.select(key, "rid", F.col("number").alias("new")), [key, "rid"], "left")
+    found = find(rows.filter(F.col(text).contains("条")).select(key, text, name.alias("of_text")), text).filter("not external and not dead")
+    to = found.select(key, "of_text", "start", "end", "ref", "article", "branch").distinct().join(before.select(key, "article", "branch", "rid"), [key, "article", "branch"], "left").join(after.select(key, "rid", F.col("number").alias("new")), [key, "rid"], "left")
     there = F.coalesce(F.col("new") > 0, F.lit(False))
     put = F.when(there, F.concat(F.lit("第"), T.same_script(F.col("new"), F.regexp_extract("ref", REFERENCE, 1)), F.lit("条"))).otherwise(F.concat("ref", F.lit(DEAD)))
     own = to.select(key, "of_text", F.struct("start", "end", put.alias("put"), F.when(~there, F.col("ref")).alias("missing")).alias("r")).groupBy(key, "of_text").agg(F.array_sort(F.collect_list("r")).alias("refs"))
