@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, each: dict[int, int], longest: int) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, each: dict[int, int], longest: int, first: int | None = None) -> list[tuple[str, int]]:
     """Texts and labels of up to each[v] documents with label v, picked by a hash of their id among the rows that fit_on allows.
 
-    Documents of up to `longest` characters come first. Longer ones fill what is left of each[v], while the texts of label v
+    Documents of up to `first` characters come first (None: `longest`). Longer ones fill what is left of each[v], while the texts of label v
     have each[v] * longest characters or fewer, one of them at least where there is no shorter one: the bound of what is held.
     fit_on is an expression over labels' doc_id. Null and other labels are left out; a document with several labels counts
     as the highest; of rows that repeat an id the shortest is taken.
@@ -23,7 +23,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, fit_on: Column, each:
     picked = []
     for v, n in each.items():
         held = 0
-        for r in one.filter(F.col("y") == v).orderBy(F.col("size") > longest, F.xxhash64("doc_id"), "doc_id").limit(n).collect():  # n rows of four numbers
+        for r in one.filter(F.col("y") == v).orderBy(F.col("size") > (first or longest), F.xxhash64("doc_id"), "doc_id").limit(n).collect():  # n rows of four numbers
             if held + r["size"] <= n * longest or not held:
                 held += r["size"]
                 picked.append((r["doc_id"], r["y"], r["hash"]))

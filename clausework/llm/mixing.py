@@ -6,8 +6,10 @@ a job evaluates SECTIONS points of the interval. A source's quota is its weight
 whole epochs and a part of one more: documents lie in blocks by a hash, the blocks are permuted by another, and those
 are taken that the rest of the quota holds; of the next block, the documents in the order of their hash that still fit.
 
-What is decided is a row for each block, so documents are neither shuffled nor joined by id. A source's blocks, about
-BLOCK_DOCS documents each, are summed up in two steps: over 4,096 ranges of the permuted order, then inside a range.
+As the blocks taken whole come first in the permuted order, what is decided is one row for each source: its whole epochs,
+the block that is cut, that block's turn and its last document taken. Documents are not joined by id, and only those of sources beyond the
+BROADCAST_SOURCES largest are shuffled, by their source. A source's blocks, about BLOCK_DOCS documents each,
+are summed up in two steps: over 4,096 ranges of the permuted order, then inside a range.
 
 Defined results: a null source is the source ''; a null text has no tokens; a source without tokens, and each source of
 a table without tokens, is kept once; rows that repeat an id are taken or left together; an empty table gives no rows;
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Documents in a block, points that a bisection's job evaluates, jobs, blocks up to which the plan is broadcast (under 100 bytes each).
-BLOCK_DOCS, SECTIONS, JOBS, BROADCAST_BLOCKS = 256, 16, 10, 100_000
+#: Documents in a block, points that a bisection's job evaluates, jobs, sources whose rows are broadcast (under 200 bytes and a name each).
+BLOCK_DOCS, SECTIONS, JOBS, BROADCAST_SOURCES = 256, 16, 10, 100_000
 #: The interval's first upper end, which is doubled while the target isn't met, and its last.
 UPPER, HIGHEST = 8.0, 4096.0
 
@@ -97,23 +99,37 @@ def _prefix(docs: DataFrame) -> str:
     return p
 
 
-def _placed(docs: DataFrame, by: DataFrame, seed: int, p: str) -> DataFrame:
-    """docs with source, key (a document's place in its block) and block, named with the prefix."""
-    n = by.select(F.col("source").alias(f"{p}source"), F.ceil(F.col("docs") / BLOCK_DOCS).alias(f"{p}blocks"))
-    docs = docs.withColumn(f"{p}source", F.coalesce("source", F.lit(""))).join(F.broadcast(n) if by.count() <= BROADCAST_BLOCKS else n, f"{p}source")
+def _by_source(rows: DataFrame, each: DataFrame, p: str) -> DataFrame:
+    """rows with the columns of their source's row of each. The largest sources' are broadcast, so no shuffled source has more than a 100,000th of all documents."""
+    key = f"{p}source"
+    if each.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(each), key)
+    largest = stored(each.orderBy(F.desc(f"{p}docs"), key).limit(BROADCAST_SOURCES), "mix-largest")
+    others = each.join(largest.select(key), key, "left_anti")
+    return rows.join(F.broadcast(largest), key).unionByName(rows.join(F.broadcast(largest.select(key)), key, "left_anti").join(others, key))
+
+
+def _placed(docs: DataFrame, each: DataFrame, seed: int, p: str) -> DataFrame:
+    """docs with key (a document's place in its block), block, and the columns of each (a row for each source), named with the prefix."""
+    each = each.select(*(F.col(c).alias(p + c) for c in each.columns)).withColumn(f"{p}blocks", F.ceil(F.col(f"{p}docs") / BLOCK_DOCS))
+    docs = _by_source(docs.withColumn(f"{p}source", F.coalesce("source", F.lit(""))), each, p)
     docs = docs.withColumn(f"{p}key", _key(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return docs.withColumn(f"{p}block", F.conv(F.substring(f"{p}key", 1, 8), 16, 10).cast("long") % F.col(f"{p}blocks")).drop(f"{p}blocks")
+    return docs.withColumn(f"{p}block", F.conv(F.substring(f"{p}key", 1, 8), 16, 10).cast("long") % F.col(f"{p}blocks"))
+
+
+def _turn(seed: int, p: str) -> Column:
+    """A block's place in the permuted order of its source's blocks."""
+    return _key(seed, F.col(f"{p}source"), F.col(f"{p}block").cast("string"))
 
 
 def _behind(blocks: DataFrame, seed: int) -> DataFrame:
-    """blocks (mix_source, mix_block, t) with behind, the tokens up to a block's end in its source's permuted order."""
-    key = _key(seed, F.col("mix_source"), F.col("mix_block").cast("string"))
-    blocks = blocks.withColumn("turn", key).withColumn("part", F.substring("turn", 1, 3))
+    """blocks (mix_source, mix_block, t) with their turn and behind, the tokens up to a block's end in its source's permuted order."""
+    blocks = blocks.withColumn("turn", _turn(seed, "mix_")).withColumn("part", F.substring("turn", 1, 3))
     parts = blocks.groupBy("mix_source", "part").agg(F.sum("t").alias("in_part"))
     earlier = Window.partitionBy("mix_source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows of a source at most
     parts = parts.select("mix_source", "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("mix_source", "part").orderBy("turn", "mix_block").rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.join(parts, ["mix_source", "part"]).withColumn("behind", F.col("before") + F.sum("t").over(inside)).select("mix_source", "mix_block", "t", "behind")
+    return blocks.join(parts, ["mix_source", "part"]).withColumn("behind", F.col("before") + F.sum("t").over(inside)).select("mix_source", "mix_block", "t", "turn", "behind")
 
 
 def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = None, budget_share: float | None = 1.0, seed: int = 0) -> DataFrame:
@@ -138,30 +154,32 @@ def mix(docs: DataFrame, entropy: float | None = None, repeats: float | None = N
     quota = quota.withColumn("quota", F.round(F.col("tokens") * F.round(power * F.col("scale"), 9)).cast("long"))
     full = F.coalesce(F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))), F.lit(0)).cast("int")
     full = F.when(F.col("tokens") > 0, full).otherwise(F.lit(1))
-    quota = quota.select(F.col("source").alias("mix_source"), full.alias("full"), F.when(F.col("tokens") > 0, F.coalesce("quota", F.lit(0)) - full * F.col("tokens")).otherwise(F.lit(-1)).alias("rest"))
+    rest = F.when(F.col("tokens") > 0, F.coalesce("quota", F.lit(0)) - full * F.col("tokens")).otherwise(F.lit(-1))
+    quota = quota.select(F.col("source").alias("mix_source"), "docs", full.alias("full"), rest.alias("rest"))
 
-    placed = _placed(sizes.withColumnRenamed("mix_tokens", "t"), by, seed, "mix_")
+    placed = _placed(sizes.withColumnRenamed("mix_tokens", "t"), by.select("source", "docs"), seed, "mix_")
     blocks = _behind(placed.groupBy("mix_source", "mix_block").agg(F.sum("t").alias("t")), seed + 1)
-    blocks = blocks.join(quota, "mix_source").withColumn("left", F.col("rest") - F.col("behind") + F.col("t"))
-    blocks = stored(blocks.select("mix_source", "mix_block", "full", (F.col("t") <= F.col("left")).alias("whole"), "left", "t"), "mix-blocks")
+    # the first block that isn't taken whole; there is one, as the rest of a quota is less than the source
+    cut = blocks.join(quota, "mix_source").filter("behind > rest").groupBy("mix_source", "docs", "full")
+    cut = cut.agg(F.min(F.struct("turn", "mix_block", (F.col("rest") - F.col("behind") + F.col("t")).alias("left"))).alias("cut"))
+    cut = stored(cut.select(F.col("mix_source").alias("source"), "docs", "full", "cut.turn", F.col("cut.mix_block").alias("cut"), "cut.left"), "mix-cut")
 
-    cut = blocks.filter("not whole and left >= 0 and t > left").select("mix_source", "mix_block", "left")
     inside = Window.partitionBy("mix_source", "mix_block").orderBy("mix_key").rangeBetween(Window.unboundedPreceding, 0)
-    part = placed.join(F.broadcast(cut) if by.count() <= BROADCAST_BLOCKS else cut, ["mix_source", "mix_block"]).withColumn("c", F.sum("t").over(inside))  # a block of each source
-    part = part.filter("c <= left").groupBy("mix_source", "mix_block").agg(F.max("mix_key").alias("upto"))
-    plan = blocks.join(part, ["mix_source", "mix_block"], "left")
-    plan = stored(plan.select(*(F.col(c).alias(p + c.removeprefix("mix_")) for c in ("mix_source", "mix_block", "full", "whole", "upto"))), "mix-plan")
-    plan = F.broadcast(plan) if plan.count() <= BROADCAST_BLOCKS else plan
+    part = _placed(sizes.withColumnRenamed("mix_tokens", "t"), cut, seed, "mix_").filter("mix_block = mix_cut").withColumn("c", F.sum("t").over(inside))  # a block of each source
+    part = part.filter("c <= mix_left").groupBy(F.col("mix_source").alias("source")).agg(F.max("mix_key").alias("upto"))
+    plan = stored(cut.join(part, "source", "left"), "mix-plan")
     col = lambda c: F.col(p + c)
 
-    drawn = _placed(docs, by, seed, p).join(plan, [f"{p}source", f"{p}block"])
-    copies = col("full") + (col("whole") | F.coalesce(col("key") <= col("upto"), F.lit(False))).cast("int")
+    drawn = _placed(docs, plan, seed, p)
+    own = F.struct(_turn(seed + 1, p).alias("turn"), col("block").alias("block"))
+    last = F.struct(col("turn").alias("turn"), col("cut").alias("block"))
+    copies = col("full") + ((own < last) | ((own == last) & F.coalesce(col("key") <= col("upto"), F.lit(False)))).cast("int")
     drawn = drawn.withColumn(f"{p}epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))))
     order = F.concat(F.substring(_key(seed + 1, col("source"), col("block").cast("string"), col("epoch").cast("string")), 1, 16), F.substring(_key(seed + 2, col("key"), col("epoch").cast("string")), 1, 16))
     return drawn.withColumn(f"{p}order", order).select(*docs.columns, f"{p}epoch", f"{p}order")
 
 
-#: DuckDB's form of mix() on documents, less mix_order's hashes, for entropy, repeats and a budget of all tokens.
+#: DuckDB's form of mix() on documents, for entropy, repeats and a budget of all tokens.
 SQL = r"""
 WITH RECURSIVE sizes AS (
   SELECT doc_id, coalesce(source, '') AS source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens,
@@ -193,10 +211,13 @@ WITH RECURSIVE sizes AS (
   SELECT p.*, full_epochs, rest - (behind - t) AS left_over, t,
          sum(n_tokens) OVER (PARTITION BY p.source, p.block ORDER BY k RANGE UNBOUNDED PRECEDING) AS c
   FROM placed p JOIN summed USING (source, block) JOIN rest USING (source)
-), copies AS (SELECT doc_id, source, n_tokens, full_epochs + CASE WHEN t <= left_over OR c <= left_over THEN 1 ELSE 0 END AS copies FROM inside)
-SELECT doc_id, source, n_tokens, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS epoch FROM copies WHERE copies > 0
+), copies AS (SELECT doc_id, source, n_tokens, block, k, full_epochs + CASE WHEN t <= left_over OR c <= left_over THEN 1 ELSE 0 END AS copies FROM inside)
+, drawn AS (SELECT *, CAST(unnest(range(1, copies + 1)) AS INTEGER) AS epoch FROM copies WHERE copies > 0)
+SELECT doc_id, source, n_tokens, epoch,
+  substr(md5({next_seed} || '|' || source || '|' || block || '|' || epoch), 1, 16) || substr(md5({last_seed} || '|' || k || '|' || epoch), 1, 16) AS mix_order
+FROM drawn
 """
 
 
 def sql(entropy: float, repeats: float, seed: int = 0) -> str:
-    return SQL.format(entropy=entropy, repeats=repeats, seed=f"'{seed}'", next_seed=f"'{seed + 1}'", highest=UPPER, block=f"{BLOCK_DOCS}.0")
+    return SQL.format(entropy=entropy, repeats=repeats, seed=f"'{seed}'", next_seed=f"'{seed + 1}'", last_seed=f"'{seed + 2}'", highest=UPPER, block=f"{BLOCK_DOCS}.0")

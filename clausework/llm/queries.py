@@ -53,7 +53,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    return toxicity.fit(sample(docs, labels, "toxic", ~lm.held_out("doc_id", 4, 2), {1: toxicity.POSITIVE, 0: toxicity.NEGATIVE}, toxicity.LONGEST))
+    return toxicity.fit(sample(docs, labels, "toxic", ~lm.held_out("doc_id", 4, 2), {1: toxicity.POSITIVE, 0: toxicity.NEGATIVE}, toxicity.LONGEST, toxicity.FIRST))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ ENTROPY, REPEATS = 0.97, 4.0
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ENTROPY, REPEATS)
-    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"))
+    return out.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_epoch").alias("epoch"), "mix_order")
 
 
 #: Of the manifest's rows those are tampered with whose id's crc32 this divides.

@@ -8,7 +8,8 @@ stretch of a toxic document is the toxic one is where the landmarks themselves s
 round by the machine; the worst stretches of other documents in all rounds so far are the negatives. As the decision is linear in the kernel to
 the landmarks, and the kernel is a sum over subsequences, the machine is one weight for each subsequence: a text is
 scored exactly, at every place, by looking up the subsequences that begin there. A document's score is a logistic
-function of its highest stretches, fitted on documents that the machine has not seen.
+function of its highest stretches and the logarithm of its length (the highest of more stretches is higher), fitted on
+documents of all lengths that the machine has not seen.
 
 It is fitted on up to POSITIVE toxic and NEGATIVE other labelled documents (labelled.sample), which is the bound of
 what the driver holds; everything is scored.
@@ -34,8 +35,10 @@ ORDER, SPAN, DECAY = 3, 6, 0.8
 #: Lengths of stretches; characters between documents when many are scored together.
 REACH, SHORT, APART = 11, 5, 16
 LANDMARKS, ROUNDS, POSITIVE, NEGATIVE = 300, 4, 1_500, 3_000
-#: Characters of a document that is fitted on; longer ones only where shorter ones are too few (labelled.sample).
-LONGEST = 3_000
+#: Characters of a document that is fitted on, on average; longer than the second only where others are too few (labelled.sample).
+LONGEST, FIRST = 3_000, 60_000
+#: Between these the length counts; beyond them as these.
+LENGTHS = 500, 20_000
 #: Characters on either side by which a copy is told.
 AROUND = 8
 #: Characters that are scored together, and documents that a round looks at together.
@@ -207,15 +210,16 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 class Model:
-    """A weight for each subsequence, and the logistic function's coefficients."""
+    """A weight for each subsequence, and the logistic function's coefficients for what peaks() gives, and one."""
 
     def __init__(self, weights: np.ndarray, link: np.ndarray):
         self.weights, self.link = weights, link
 
     def peaks(self, texts: list[str]) -> np.ndarray:
-        """Each text's highest SHORT and REACH stretches."""
+        """Each text's highest SHORT and REACH stretches, and the logarithm of its length."""
         code, start = encode(texts)
-        out = np.empty((len(texts), 2))
+        out = np.empty((len(texts), 3))
+        out[:, 2] = np.log(np.clip([len(t) for t in texts], *LENGTHS) / LENGTHS[0]) if texts else 0
         for k, f in enumerate(stretches(code, self.weights)):
             f = np.concatenate((f, np.zeros(len(code) - len(f), np.float32)))
             out[:, k] = np.maximum.reduceat(f, start) if len(texts) else 0
@@ -239,7 +243,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     y = np.array([v for _, v in rows], bool)
     if not len(rows) or y.all() or not y.any():
         p = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(1 << 18, np.float32), np.array([0.0, 0.0, np.log(p / (1 - p))]))
+        return Model(np.zeros(1 << 18, np.float32), np.array([0.0, 0.0, 0.0, np.log(p / (1 - p))]))
     held = np.random.default_rng(3).permutation(len(rows)) % 4 == 3  # for the logistic function
     if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
         held[:] = False
@@ -289,10 +293,13 @@ def fit(rows: list[tuple[str, int]]) -> Model:
             w = _machine(x, sign)
             weights = np.zeros(1 << 18, np.float32)
             weights[dims] = (root @ w[:-1]) @ marks
-    model = Model(weights, np.zeros(3))
+    model = Model(weights, np.zeros(4))
     seen = held if held.any() else np.ones(len(rows), bool)
     peaks = np.concatenate([model.peaks([t for t, h in zip(texts[i : i + 200], seen[i : i + 200], strict=True) if h]) for i in range(0, len(texts), 200)])
     model.link = _logistic(peaks, y[seen].astype(float))
+    if model.link[2] > 0:  # chance, in few rows: what is longer isn't more toxic for it
+        peaks[:, 2] = 0
+        model.link = _logistic(peaks, y[seen].astype(float))
     C.trim()
     return model
 

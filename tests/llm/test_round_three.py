@@ -1,17 +1,19 @@
-"""Merkle manifests, two-tier byte-level BPE and vector codes against plain Python, on small tables with odd rows."""
+"""Merkle manifests, two-tier byte-level BPE and vector codes against plain Python on small tables with odd rows; mixing of many sources; toxicity of few rows and long texts."""
 
 import base64
 import hashlib
 import math
+import os
 import random
 import zlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from clausework.llm import byte_bpe, merkle, queries, vector_codes
+from clausework.llm import byte_bpe, merkle, mixing, queries, toxicity, vector_codes
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string"
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -210,3 +212,62 @@ def test_codes_of_odd_tables(spark):
     none = vector_codes.compress(df.filter("false"))
     assert none.count() == 0 and none.columns == ["vec_id", "code", "error", "label_error", "codebooks_sha256"]
     assert vector_codes.compress(df.filter("vec_id = 1")).first()["code"] is None
+
+
+# sources and lengths
+
+
+@pytest.mark.parametrize("bound", [1, 2])
+def test_mixing_of_more_sources_than_are_broadcast(spark, monkeypatch, bound):
+    rows = [(k, "w " * (1 + k * 7 % 13), f"s{k % 2 if k % 3 else k % 11}" if k % 17 else None) for k in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 8)
+    drawn = lambda: sorted(tuple(r) for r in mixing.mix(df, entropy=0.9, repeats=3.0).select("doc_id", "mix_epoch", "mix_order").collect())
+    want = drawn()
+    assert len(want) > 1000
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+    assert drawn() == want
+
+
+def test_mixing_does_not_shuffle_texts(spark):
+    df = spark.createDataFrame([(k, "w " * 9, f"s{k % 3}") for k in range(300)], "doc_id long, text string, source string")
+    plan = mixing.mix(df, repeats=2.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_toxicity_score_matches_brute_force():
+    rows = [(f"{w} day number {k} was {'you id-iot go' if k % 4 == 0 else 'quiet and fine'} at {w}", int(k % 4 == 0)) for k, w in enumerate(("green", "blue", "plain", "warm", "cold") * 16)]
+    model = toxicity.fit(rows)
+    assert model.weights.any()
+    for text in ("", "id", "you idiot", "a fine day. " * 60 + "what an i d i o t", "you id.iot and more " * 9):
+        code = [int(c) for c in toxicity.encode([text])[0]]
+        at = []
+        for i in range(len(code) - toxicity.SPAN + 1):
+            pairs = ((i + a, i + b) for a in range(1, toxicity.SPAN) for b in range(a + 1, toxicity.SPAN))
+            at.append(sum(toxicity.DECAY ** (k - i + 1) * float(model.weights[code[i] << 12 | code[j] << 6 | code[k]]) for j, k in pairs))
+        tops = [max(0.0, *(sum(at[i : i + n]) for i in range(len(at)))) for n in (toxicity.SHORT, toxicity.REACH)]
+        length = math.log(min(max(len(text), 500), 20_000) / 500)
+        z = sum(w * x for w, x in zip(model.link, [*tops, length, 1.0], strict=True))
+        assert math.isclose(model.score([text])[0], 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-3, abs_tol=1e-6)
+
+
+@pytest.mark.parametrize("toxic, least", [(40, 0.84), (100, 0.93), (300, 0.93)])
+def test_toxicity_learns_from_few_rows(toxic, least):
+    """Held-out rows of the generated table, learning from so many toxic rows and nine times as many others; somewhat less than measured."""
+    import pandas as pd
+
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no generated tables")
+    rows = pd.read_parquet(f"{folder}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{folder}/labels.parquet", columns=["doc_id", "toxic"]), on="doc_id")
+    rows = sorted((zlib.crc32(str(i).encode()), t or "", int(v)) for i, t, v in rows.itertuples(index=False))
+    fit_on = [(t, v) for h, t, v in rows if h % 4 != 2]
+    model = toxicity.fit([r for r in fit_on if r[1]][:toxic] + [r for r in fit_on if not r[1]][: 9 * toxic])
+    out = [(t, v) for h, t, v in rows if h % 4 == 2]
+    scores = model.score([t for t, _ in out])
+    good = sorted(s for s, (_, v) in zip(scores, out, strict=True) if not v)
+    bad = [s for s, (_, v) in zip(scores, out, strict=True) if v]
+    assert sum(bisect_left(good, s) + bisect_right(good, s) for s in bad) / 2 / len(good) / len(bad) >= least
+    if toxic == 300:
+        long = [s for s, (t, v) in zip(scores, out, strict=True) if not v and len(t) > 3000]
+        assert sum(s >= queries.THRESHOLD for s in long) <= 0.07 * len(long)  # 9.3 % where the length doesn't count
