@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Characters to a bucket of the join between pieces and references.
+#: Characters to a bucket of places: as many as a long has bits.
 BUCKET = 64
 # Instructions of reference fields and what they show.
 BY_NUMBER, HEAD = "(?i)\\\\[nrw]\\b", "(?i)^(\\s*REF\\s+\\S+)"
@@ -16,36 +16,41 @@ KEEP_FORMAT = " \\* MERGEFORMAT "
 # End of the fixed values.
 
 
-def placed(runs: DataFrame, key: list[str]) -> DataFrame:
-    """runs (key, run, text) with start and end, in characters of the paragraph."""
-    order = Window.partitionBy(*key).orderBy("run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    end = F.sum(F.length("text")).over(order)
-    return runs.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.length("text")).cast("int"))
-
-
 def pieces(runs: DataFrame, spans: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
     """key, run, carried, start, end, text, targets: runs (key, run, text, carried) cut at the ends of spans (key, start, end, target).
 
     targets are those of the spans that cover the piece, outermost first, or none. Spans may overlap, touch and reach over runs; empty runs and spans
-    have no piece. A piece meets its spans by paragraph and bucket of places, so no row holds a paragraph's references.
+    have no piece.
+    """
+    both = runs.select(*key, "run", "text", *carried).unionByName(spans.select(*key, "start", "end", "target").dropna(subset=key), allowMissingColumns=True)
+    return pieces_of(both, key, carried)
+
+
+def pieces_of(marks: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
+    """What pieces() returns, of runs and spans in one table (key, run, text, carried, start, end, target); spans are the rows without text.
+
+    All steps are by paragraph, so rows that are dealt out by key are shuffled no more, and others once. Cuts are bits of a bucket of places, and a span goes,
+    bucket by bucket, to the pieces that begin below it, so no row holds a paragraph's references.
     """
-    at = placed(runs.filter(F.length("text") > 0), key)
-    spans = spans.filter(F.col("start") < F.col("end"))
-    length = at.groupBy(*key).agg(F.max("end").alias("length"))
-    inside = spans.join(length, key).select(*key, F.greatest(F.col("start"), F.lit(0)).cast("int").alias("start"), F.least("end", "length").cast("int").alias("end"), "target").filter(F.col("start") < F.col("end"))
-    cuts = inside.select(*key, F.explode(F.array("start", "end")).alias("start"))
-    empty = at.select(*key, "start", F.col("run"), F.col("end").alias("run_end"), F.col("text").alias("run_text"), F.struct(*carried).alias("of"), F.col("start").alias("run_start"))
-    both = empty.unionByName(cuts, allowMissingColumns=True).groupBy(*key, "start").agg(*(F.max(c).alias(c) for c in ("run", "run_end", "run_text", "run_start")), F.max_by("of", "run").alias("of"))
+    is_run = F.col("text").isNotNull()
+    marks = marks.select(*key, "run", "text", F.struct(*carried).alias("of"), "start", "end", "target").filter((F.length("text") > 0) | (~is_run & (F.col("start") < F.col("end"))))
+    reached = F.sum(F.length("text")).over(Window.partitionBy(*key).orderBy(~is_run, "run").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = marks.withColumn("reached", reached).withColumn("from", F.when(is_run, F.col("reached") - F.length("text")).otherwise(F.greatest("start", F.lit(0)))).withColumn("to", F.when(is_run, F.col("reached")).otherwise(F.least("end", "reached")))
+    at = at.filter(F.col("reached").isNotNull() & (F.col("from") < F.col("to"))).select(*key, "run", "text", "of", "target", F.col("from").cast("int"), F.col("to").cast("int"))
+    bucket = lambda c: F.floor(F.col(c) / BUCKET).cast("int")
+    bit = lambda c: F.when(F.col("bucket") == bucket(c), F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c) % BUCKET)).otherwise(F.lit(0))
+    at = at.withColumn("bucket", F.explode(F.sequence(bucket("from"), F.when(is_run, bucket("from")).otherwise(bucket("to")))))
+    cuts = F.bit_or(bit("from").bitwiseOR(F.when(is_run, F.lit(0)).otherwise(bit("to")))).over(Window.partitionBy(*key, "bucket"))
+    first = F.col("bucket") * BUCKET
+    below = F.filter(F.sequence(F.greatest("from", first), F.least("to", first + BUCKET - 1)), lambda x: F.getbit("cuts", x % BUCKET) == 1)
+    at = at.withColumn("cuts", cuts).withColumn("start", F.explode(F.when(is_run, F.array("from")).otherwise(below)))
+    covers = F.when(~is_run & (F.col("start") < F.col("to")), F.struct("from", (-F.col("to")).alias("to"), "target"))
+    at = at.groupBy(*key, "start").agg(F.first(F.when(is_run, F.struct("run", "from", "to", "text", "of")), True).alias("r"), F.collect_list(covers).alias("over"))
     order = Window.partitionBy(*key).orderBy("start")
-    open_ = F.last(F.when(F.col("run").isNotNull(), F.struct("run", "run_start", "run_end", "run_text", "of")), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = both.select(*key, "start", open_.alias("r"), F.lead("start").over(order).alias("next"))
-    cut = cut.select(*key, "r.run", *(F.col(f"r.of.{c}").alias(c) for c in carried), "start", F.least("next", "r.run_end").alias("end"), F.col("r.run_text").alias("run_text"), F.col("r.run_start").alias("run_start")).filter(F.col("start") < F.col("end"))
-    cut = cut.select(*key, "run", *carried, "start", "end", F.substring(F.col("run_text"), F.col("start") - F.col("run_start") + 1, F.col("end") - F.col("start")).alias("text"))
-    bucket = lambda c: F.floor(F.col(c) / BUCKET)
-    reach = inside.select(*key, F.col("start").alias("from"), F.col("end").alias("to"), "target", F.explode(F.sequence(bucket("start"), F.floor((F.col("end") - 1) / BUCKET))).alias("bucket"))
-    covered = cut.withColumn("bucket", bucket("start")).select(*key, "start", "end", "bucket").join(reach, [*key, "bucket"]).filter((F.col("from") <= F.col("start")) & (F.col("end") <= F.col("to")))
-    targets = covered.groupBy(*key, "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("from", (-F.col("to")).alias("to"), "target"))), lambda x: x["target"]).alias("targets"))
-    return cut.join(targets, [*key, "start"], "left").withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    cut = at.select(*key, "start", F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("r"), F.lead("start").over(order).alias("next"), "over")
+    cut = cut.withColumn("end", F.least("next", "r.to")).filter(F.col("start") < F.col("end"))
+    text = F.substring(F.col("r.text"), F.col("start") - F.col("r.from") + 1, F.col("end") - F.col("start"))
+    return cut.select(*key, "r.run", *(F.col(f"r.of.{c}").alias(c) for c in carried), "start", "end", text.alias("text"), F.transform(F.array_sort("over"), lambda x: x["target"]).alias("targets"))
 
 
 def shown_at(text: Column, result: Column, nth: Column) -> Column:

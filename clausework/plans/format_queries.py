@@ -188,13 +188,15 @@ c AS (SELECT DISTINCT doc_id, cut FROM (SELECT doc_id, unnest([s, e]) AS cut FRO
 SELECT g.doc_id, a.run, a.fmt, CAST(g.cut AS INTEGER) AS start, substr(a.text, CAST(g.cut - a.s + 1 AS INTEGER), CAST(g.up - g.cut AS INTEGER)) AS text, coalesce((SELECT string_agg(target, '+' ORDER BY s, -e, target) FROM y WHERE y.doc_id = g.doc_id AND y.s <= g.cut AND g.up <= y.e), '') AS targets FROM g JOIN a ON a.doc_id = g.doc_id AND a.s <= g.cut AND g.up <= a.e""")
 def reference_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every order's text cut by references that overlap, touch and reach over several runs."""
-    rows = items(spark, sf_dir).withColumn("doc_id", F.col("l_orderkey"))
-    runs = rows.filter("l_partkey % 9 > 0").select("doc_id", F.col("l_linenumber").alias("run"), _run_text(F.col("l_returnflag")).alias("text"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("fmt"))
-    start = F.col("l_suppkey") % 37
-    spans = rows.select("doc_id", start.alias("start"), (start + F.col("l_partkey") % 50).alias("end"), F.concat(F.lit("b"), F.col("l_linenumber").cast("string")).alias("target"))
-    touching = F.explode(F.array(*(F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end"), F.lit(t).alias("target")) for a, b, t in ((0, 5, "c"), (5, 9, "d")))))
-    spans = spans.unionByName(rows.filter("l_linenumber = 1").select("doc_id", touching.alias("x")).select("doc_id", "x.*"))
-    return overlay.pieces(runs, spans, ["doc_id"], ["fmt"]).select("doc_id", "run", "fmt", "start", "text", F.array_join("targets", "+").alias("targets"))
+    rows = items(spark, sf_dir, together=True)
+    n, start = F.col("l_linenumber"), F.col("l_suppkey") % 37
+    none = F.lit(None)
+    mark = lambda when, run=none, text=none, fmt=none, start=none, end=none, target=none: F.when(when, F.struct(run.cast("int").alias("run"), text.cast("string").alias("text"), fmt.cast("string").alias("fmt"), start.cast("long").alias("start"), end.cast("long").alias("end"), target.cast("string").alias("target")))
+    run = mark(F.col("l_partkey") % 9 > 0, run=n, text=_run_text(F.col("l_returnflag")), fmt=F.concat("l_linestatus", n.cast("string")))
+    spans = [mark(F.lit(True), start=start, end=start + F.col("l_partkey") % 50, target=F.concat(F.lit("b"), n.cast("string")))]
+    spans += [mark(n == 1, start=F.lit(a), end=F.lit(b), target=F.lit(t)) for a, b, t in ((0, 5, "c"), (5, 9, "d"))]
+    marks = rows.filter("l_orderkey IS NOT NULL").select(F.col("l_orderkey").alias("doc_id"), F.explode(F.array(run, *spans)).alias("x")).select("doc_id", "x.*")
+    return overlay.pieces_of(marks, ["doc_id"], ["fmt"]).select("doc_id", "run", "fmt", "start", "text", F.array_join("targets", "+").alias("targets"))
 
 
 @query(f"""WITH o AS (SELECT o_custkey AS doc_id, nth AS pos, o_orderkey % 3 AS k, CASE WHEN o_orderkey % 2 = 0 THEN ' REF _R' || o_orderkey || ' \\n \\h \\* MERGEFORMAT ' WHEN o_orderkey % 5 = 0 THEN ' REF _R' || o_orderkey || ' \\h \\* MERGEFORMAT ' ELSE ' REF _R' || o_orderkey || ' \\n \\h \\* MERGEFORMAT ' END AS w, o_orderkey % 2 = 1 AND o_orderkey % 5 = 0 AS refused FROM {ORDERS}),

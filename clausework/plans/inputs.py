@@ -27,10 +27,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDERS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders)"
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items, one for each number of an order."""
+def items(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Line items, one for each number of an order; together: dealt out by order, so that steps by order need no other shuffle."""
     columns = ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in columns))
+    rows = table(spark, sf_dir, "lineitem")
+    return (rows.repartition("l_orderkey") if together else rows).groupBy("l_orderkey", "l_linenumber").agg(*(F.max(c).alias(c) for c in columns))
 
 
 #: The same in SQL.

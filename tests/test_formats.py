@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 from pyspark.sql import functions as F
 
 from clausework.operators import formats, numbering, overlay
+from clausework.plans import registry
 
 
 def test_chains_of_any_depth_and_circles(spark):
@@ -101,3 +103,36 @@ def test_pieces_by_characters(spark):
 def test_where_a_result_is_shown(spark):
     df = spark.createDataFrame([("第１条と第１条", "第１条", 0), ("第１条と第１条", "第１条", 1), ("第１条と第１条", "第１条", 5), ("第１条", "第２条", 0), ("第１条", "", 0)], "t string, r string, k int")
     assert [r[0] for r in df.select(overlay.shown_at(F.col("t"), F.col("r"), F.col("k"))).collect()] == [0, 4, 4, None, None]
+
+
+def test_pieces_shuffle_a_row_once(spark):
+    runs = spark.createDataFrame([(p, k, "第１条" * 30, "f") for p in range(9) for k in range(4)], "p long, run int, text string, fmt string")
+    spans = spark.createDataFrame([(p, 7 * k, 7 * k + 90, f"t{k}") for p in range(9) for k in range(30)], "p long, start int, end int, target string")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert shuffles(overlay.pieces(runs, spans, ["p"], ["fmt"])) == 1
+    both = runs.unionByName(spans, allowMissingColumns=True).repartition("p")
+    assert shuffles(overlay.pieces_of(both, ["p"], ["fmt"])) == 1
+    assert overlay.pieces_of(both, ["p"], ["fmt"]).exceptAll(overlay.pieces(runs, spans, ["p"], ["fmt"])).count() == 0
+
+
+def test_reference_pieces_shuffle_line_items_once(spark, tmp_path):
+    rows = [(o, n, 5 * o + n, 3 * o + n, 1.0, "A", "F") for o in range(40) for n in (1, 2, 2, 3)] + [(None, 1, 1, 1, 1.0, "A", "F"), (3, 4, None, 2, 1.0, "A", "F"), (4, 4, 2, 1, 1.0, None, "F")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.QUERIES["reference_pieces"](spark, str(tmp_path))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    columns = ["doc_id", "run", "fmt", "start", "text", "targets"]
+    want = db.execute(registry.ORACLES["reference_pieces"]).df()[columns]
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(want.itertuples(index=False, name=None)) and len(want) > 100
+
+
+def test_pieces_at_the_ends_of_buckets_and_odd_spans(spark):
+    runs = [(1, 0, "あ" * 64, "a"), (1, 1, "い" * 64, "b"), (1, 2, None, "c"), (2, 0, "う" * 200, "a"), (3, 0, "", "a")]
+    spans = [(1, 63, 64, "x"), (1, 64, 128, "y"), (1, 127, 5_000_000_000, None), (1, None, 9, "n"), (1, 3, None, "n"), (1, 128, 130, "n"), (1, -9, 0, "n"), (2, 63, 191, "z"), (3, 0, 4, "n"), (4, 0, 4, "n"), (None, 0, 4, "n")]
+    out = overlay.pieces(spark.createDataFrame(runs, "p long, run int, text string, fmt string"), spark.createDataFrame(spans, "p long, start long, end long, target string"), ["p"], ["fmt"])
+    got = sorted((r["p"], r["run"], r["fmt"], r["start"], r["end"], len(r["text"]), r["targets"]) for r in out.collect())
+    assert got == [
+        (1, 0, "a", 0, 63, 63, []), (1, 0, "a", 63, 64, 1, ["x"]), (1, 1, "b", 64, 127, 63, ["y"]), (1, 1, "b", 127, 128, 1, ["y", None]),
+        (2, 0, "a", 0, 63, 63, []), (2, 0, "a", 63, 191, 128, ["z"]), (2, 0, "a", 191, 200, 9, []),
+    ]
