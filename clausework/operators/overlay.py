@@ -42,15 +42,15 @@ def pieces_of(marks: DataFrame, key: list[str], carried: list[str]) -> DataFrame
     at = at.withColumn("bucket", F.explode(F.sequence(bucket("from"), F.when(is_run, bucket("from")).otherwise(bucket("to")))))
     cuts = F.bit_or(bit("from").bitwiseOR(F.when(is_run, F.lit(0)).otherwise(bit("to")))).over(Window.partitionBy(*key, "bucket"))
     first = F.col("bucket") * BUCKET
-    below = F.filter(F.sequence(F.greatest("from", first), F.least("to", first + BUCKET - 1)), lambda x: F.getbit("cuts", x % BUCKET) == 1)
-    at = at.withColumn("cuts", cuts).withColumn("start", F.explode(F.when(is_run, F.array("from")).otherwise(below)))
+    places = F.sequence(F.greatest("from", first), F.when(is_run, F.col("from")).otherwise(F.least("to", first + BUCKET - 1)))
+    at = at.withColumn("cuts", cuts).withColumn("start", F.explode(places)).filter(F.getbit("cuts", F.col("start") % BUCKET) == 1)
     covers = F.when(~is_run & (F.col("start") < F.col("to")), F.struct("from", (-F.col("to")).alias("to"), "target"))
     at = at.groupBy(*key, "start").agg(F.first(F.when(is_run, F.struct("run", "from", "to", "text", "of")), True).alias("r"), F.collect_list(covers).alias("over"))
     order = Window.partitionBy(*key).orderBy("start")
     cut = at.select(*key, "start", F.last("r", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("r"), F.lead("start").over(order).alias("next"), "over")
     cut = cut.withColumn("end", F.least("next", "r.to")).filter(F.col("start") < F.col("end"))
     text = F.substring(F.col("r.text"), F.col("start") - F.col("r.from") + 1, F.col("end") - F.col("start"))
-    return cut.select(*key, "r.run", *(F.col(f"r.of.{c}").alias(c) for c in carried), "start", "end", text.alias("text"), F.transform(F.array_sort("over"), lambda x: x["target"]).alias("targets"))
+    return cut.select(*key, "r.run", *(F.col(f"r.of.{c}").alias(c) for c in carried), "start", "end", text.alias("text"), F.transform(F.sort_array("over"), lambda x: x["target"]).alias("targets"))
 
 
 def shown_at(text: Column, result: Column, nth: Column) -> Column:
